@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.llm import toxicity
+from gridlake.llm import packing, sharding, toxicity
 from gridlake.llm.common import table
 
 QUERIES: dict = {}
@@ -17,3 +17,13 @@ def query(f):
 @query
 def op1_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sharding(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
