@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.llm import packing, sharding, toxicity
+from gridlake.llm import licenses, neighbours, packing, sharding, tokencount, toxicity
 from gridlake.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,21 @@ def op7_packing(spark, sf_dir):
 @query
 def op10_sharding(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_neighbours(spark, sf_dir):
+    return neighbours.digest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op5_neighbours"] = neighbours.SQL
+
+
+@query
+def op6_licenses(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return tokencount.digest(table(spark, sf_dir, "documents"))
