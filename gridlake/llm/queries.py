@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.llm import licenses, neighbours, packing, sharding, tokencount, toxicity
+from gridlake.llm import licenses, neighbours, ngram_join, packing, sharding, tokencount, toxicity
 from gridlake.llm.common import table
 
 QUERIES: dict = {}
@@ -45,3 +45,11 @@ def op6_licenses(spark, sf_dir):
 @query
 def op9_token_counts(spark, sf_dir):
     return tokencount.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_ngram_join"] = ngram_join.SQL
