@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.llm import licenses, neighbours, ngram_join, packing, sharding, tokencount, toxicity
+from gridlake.llm import decontam, licenses, neighbours, ngram_join, packing, sharding, tokencount, toxicity
 from gridlake.llm.common import table
 
 QUERIES: dict = {}
@@ -53,3 +53,11 @@ def op2_ngram_join(spark, sf_dir):
 
 
 ORACLE["op2_ngram_join"] = ngram_join.SQL
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op4_decontamination"] = decontam.SQL
