@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlake.llm import decontam, licenses, neighbours, ngram_join, packing, sharding, tokencount, toxicity
+from gridlake.llm import decontam, licenses, neighbours, ngram_join, packing, secrets, sharding, tokencount, toxicity, urlfilter
 from gridlake.llm.common import table
 
 QUERIES: dict = {}
@@ -61,3 +61,13 @@ def op4_decontamination(spark, sf_dir):
 
 
 ORACLE["op4_decontamination"] = decontam.SQL
+
+
+@query
+def op8_secrets(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    return urlfilter.digest(table(spark, sf_dir, "pages"))
