@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, with their SQL oracles."""
+"""All registered queries over the driver's tables, with their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from gridlake.plans import zonal_queries  # noqa: F401
+from gridlake.plans.registry import ORACLE, QUERIES  # noqa: F401
