@@ -44,52 +44,72 @@ def load_scores(path: str) -> dict[str, float]:
 
 
 class TrieCounter(dict):
-    """word -> (tokens, fallback bytes, score)."""
+    """word -> its row of `counts` (tokens, fallback bytes, score)."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.endings: dict = {}  # pieces spelled backwards, so that a step stops where no piece ends so
+        for piece, score in scores.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = score
+        self.counts = np.zeros((0, 3))
 
-    def add(self, words) -> None:
-        """Counts of new words; one visit for each node of their trie."""
+    def add(self, words: dict[str, bytes]) -> None:
+        """Count new words, kept under their bytes; one visit for each node of their trie."""
         root: dict = {}
-        for word in words:
+        for word, key in words.items():
             node = root
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = word
-        scores, longest = self.scores, self.longest
-        path = [MARK]
-        start = self._step(MARK, [(0.0, 0, 0)], scores, longest)
-        states = [(0.0, 0, 0), start]
-        stack = [(iter(root.items()))]
+            node[""] = key
+        path, states, found = [], [(0.0, 0, 0)], []
+        self._enter(MARK, path, states)
+        stack = [iter(root.items())]
         while stack:
             for c, child in stack[-1]:
                 if c == "":
-                    self[child] = (states[-1][1], states[-1][2], states[-1][0])
+                    score, tokens, fallback = states[-1]
+                    self[child] = len(self.counts) + len(found)
+                    found.append((tokens, fallback, score))
                     continue
-                path.append(c)
-                states.append(self._step("".join(path[-longest:]), states, scores, longest))
+                self._enter(c, path, states)
                 stack.append(iter(child.items()))
                 break
             else:
                 stack.pop()
                 path.pop()
                 states.pop()
-
-    @staticmethod
-    def _step(tail: str, states, scores, longest):
-        """State (score, tokens, fallback bytes) of the prefix that ends with tail."""
-        n = len(tail[-1].encode("utf-8", "surrogatepass"))
-        score, tokens, fallback = states[-1]
-        best = None
-        for k in range(1, min(longest, len(tail)) + 1):
-            piece = scores.get(tail[-k:])
+        self.counts = np.concatenate([self.counts, np.array(found, float).reshape(-1, 3)])
+
+    def forget(self) -> None:
+        self.clear()
+        self.counts = np.zeros((0, 3))
+
+    def total(self, words: list[bytes]) -> np.ndarray:
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.counts[rows].sum(axis=0)
+
+    def _enter(self, c: str, path: list[str], states: list[tuple]) -> None:
+        """The state (score, tokens, fallback bytes) of the prefix that c ends, from those of shorter prefixes."""
+        path.append(c)
+        node, best, k = self.endings, None, 0
+        for c_ in reversed(path):
+            node = node.get(c_)
+            if node is None:
+                break
+            k += 1
+            piece = node.get("")
             if piece is not None:
                 before = states[-k]
                 value, count = before[0] + piece, before[1] + 1
                 if best is None or value > best[0] or value == best[0] and count < best[1]:
                     best = (value, count, before[2])
-        return best or (score - BYTE_PENALTY * n, tokens + n, fallback + n)
+        if best is None:
+            n = len(c.encode("utf-8", "surrogatepass"))
+            score, tokens, fallback = states[-1]
+            best = (score - BYTE_PENALTY * n, tokens + n, fallback + n)
+        states.append(best)
 
 
 _COUNTERS: dict[str, TrieCounter] = {}
@@ -110,16 +130,13 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             new = {w for words in split for w in words if w not in counter}
             if new:
                 if len(counter) > CACHE_WORDS:
-                    counter.clear()
+                    counter.forget()
                     new = {w for words in split for w in words}
-                texts = {w.decode(): w for w in new}
-                counter.add(texts)
-                for text, raw in texts.items():
-                    counter[raw] = counter.pop(text)
+                counter.add({w.decode(): w for w in new})
             out = np.zeros((len(split), 3))
             for i, words in enumerate(split):
                 if words:
-                    out[i] = np.array([counter[w] for w in words]).sum(axis=0)
+                    out[i] = counter.total(words)
             added = [pa.array(list(map(len, split)), pa.int64()), *(pa.array(out[:, k].astype(np.int64)) for k in (0, 1)), pa.array(np.round(out[:, 2], 4))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(f.name for f in ADDED)])
 
