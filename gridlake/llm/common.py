@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is; null becomes the empty text."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    some = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(some) == F.length(some), F.lower(some)).otherwise(F.translate(some, UPPER, UPPER.lower()))
 
 
 def fold(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -9,8 +9,7 @@ the hash of all their words, length by length. Item fingerprints are broadcast o
 `broadcast_rows`; else Spark joins by shuffle.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased. Defined results: null and empty texts have no words and
-no hit, null items no window; repeated documents are judged each and repeated items count by item_id; null item_ids
-are left out of n_items and the digest; empty tables give no rows, or no hits; extra columns are kept by flag() unless they clash.
+no hit, null items no window; repeated documents are judged each and repeated items count by item_id; items without an item_id are left out; empty tables give no rows, or no hits; extra columns are kept by flag() unless they clash.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ WINDOW = K + W - 1
 PLACE_BITS = 30  # of a packed fingerprint; the rest are bits of the hash
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MOST_CELLS = 1 << 18
+TALLY = -(1 << 62)  # no fingerprint: those have fewer bits
 
 
 def words(text: Column) -> Column:
@@ -61,25 +61,62 @@ def _around(h: Column, place: Column) -> Column:
     return F.array(*(F.when(place + k >= 0, F.get(h, F.greatest(place + k, F.lit(0)))) for k in range(1 - W, K + W - 1)))
 
 
-def _winnowed(hashed: DataFrame) -> DataFrame:
-    """One row per fingerprint: the frame's columns but h, and fp, place, around."""
+def _cells(prints: DataFrame, limit: int) -> Column | None:
+    """A bitmap of the items' fingerprints as a literal, if there are at most `limit` (counted first)."""
+    rows = prints.select("fp").distinct().limit(limit + 1).toArrow().column("fp").to_pylist()
+    if len(rows) > limit:
+        return None
+    size = max(64, min(MOST_CELLS, 1 << (32 * len(rows)).bit_length()))
+    words = [0] * (size // 64)
+    for fp in rows:
+        cell = fp & (size - 1)
+        words[cell >> 6] |= 1 << (cell & 63)
+    return F.array(*(F.lit(w - (1 << 64) if w >> 63 else w) for w in words))
+
+
+def _winnowed(hashed: DataFrame, cells: Column | None = None, tally: bool = False) -> DataFrame:
+    """One row per fingerprint: the frame's columns but h, and fp, place, around; with cells, only those that the bitmap has.
+
+    With tally, each text adds a row with the fingerprint TALLY and its number of words as place."""
     kept = [c for c in hashed.columns if c != "h"]
-    with_grams = hashed.where(F.size("h") >= WINDOW).withColumn("g", _grams(F.col("h")))
-    packed = F.transform(_winnow(F.col("g")), lambda p: F.struct(_fingerprint(p).alias("fp"), _place(p).alias("place"), _around(F.col("h"), _place(p)).alias("around")))
-    return with_grams.select(*kept, F.inline(packed))
+    with_grams = hashed.withColumn("g", F.when(F.size("h") >= WINDOW, _grams(F.col("h"))).otherwise(F.array().cast("array<long>")))
+    packed = _winnow(F.col("g"))
+    if cells is not None:
+        with_cells = with_grams.withColumn("g", packed).withColumn("cells", cells)
+        cell = lambda p: _fingerprint(p).bitwiseAND(F.size("cells").cast("long") * 64 - 1)
+        held = lambda p: F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.get("cells", F.shiftright(cell(p), 6).cast("int")), cell(p).bitwiseAND(F.lit(63)).cast("int"))) == 1
+        with_grams, packed = with_cells, F.filter("g", held)
+    rows = F.transform(packed, lambda p: F.struct(_fingerprint(p).alias("fp"), _place(p).alias("place"), _around(F.col("h"), _place(p)).alias("around")))
+    if tally:
+        rows = F.concat(rows, F.array(F.struct(F.lit(TALLY).alias("fp"), F.size("h").alias("place"), F.array().cast("array<long>").alias("around"))))
+    return with_grams.select(*kept, F.inline(rows))
 
 
 def _checked(small: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+def _short_hits(hashed: DataFrame, short: DataFrame, m: int, broadcast_rows: int) -> DataFrame:
+    """Hits of the items that have m words, fewer than a window."""
+    whole = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(m)))
+    keys = short.where(F.size("h") == m).select("item_id", whole(F.col("h"), F.lit(0)).alias("key")).distinct()
+    starts = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (m - 1), F.lit(0))), lambda x, i: whole(F.col("h"), i))
+    spots = hashed.select("row", F.posexplode(starts).alias("first", "key"))
+    return spots.join(_checked(keys, broadcast_rows), "key").select("row", "item_id", "first", (F.col("first") + m).alias("end"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(row, item_id, first, end) of every stretch of document words that item windows cover; docs has row and text."""
-    items = stored(benchmark.select(F.col("item_id").cast("string").alias("item_id"), hashes(F.col("text")).alias("h")).where(F.size("h") > 0), "decontam-items")
+    """(row, item_id, first, end) of every stretch of document words that item windows cover; docs has row and text.
+
+    Each document also has a row with a null item_id, whose end is its number of words. The table is stored."""
+    items = stored(benchmark.select(F.col("item_id").cast("string").alias("item_id"), hashes(F.col("text")).alias("h")).where("item_id is not null and size(h) > 0"), "decontam-items")
     prints = stored(_winnowed(items).select("item_id", "fp", F.col("around").alias("item_around")).distinct(), "decontam-prints")
     hashed = docs.select("row", hashes(F.col("text")).alias("h"))
+    marker = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("item_id"), F.lit(TALLY).alias("fp"), F.array().cast("array<long>").alias("item_around"))
 
-    pairs = _winnowed(hashed).join(_checked(prints, broadcast_rows), "fp")
+    cells = _cells(prints, broadcast_rows)
+    table = prints.unionAll(marker)
+    pairs = _winnowed(hashed, cells, tally=True).join(table if cells is None else F.broadcast(table), "fp")
     same = lambda k: F.coalesce(F.get("around", F.lit(k)) == F.get("item_around", F.lit(k)), F.lit(False))
     left = right = F.lit(0)
     for k in range(W - 1, 0, -1):  # equal words next to the K in the middle, inside out
@@ -88,17 +125,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     middle = F.lit(True)
     for k in range(K):
         middle = middle & same(W - 1 + k)
-    stretch = pairs.where(middle).select("row", "item_id", (F.col("place") - left).alias("first"), (F.col("place") + K + right).alias("end"))
-    found = stretch.where(F.col("end") - F.col("first") >= WINDOW)
+    total = F.col("fp") == TALLY
+    stretch = pairs.where(total | middle).select("row", "item_id", F.when(total, 0).otherwise(F.col("place") - left).alias("first"), F.when(total, F.col("place")).otherwise(F.col("place") + K + right).alias("end"), total.alias("total"))
+    found = stretch.where(F.col("total") | (F.col("end") - F.col("first") >= WINDOW)).drop("total")
 
     short = items.where(F.size("h") < WINDOW)
     for m in [r["m"] for r in short.select(F.size("h").alias("m")).distinct().collect()]:  # at most WINDOW - 1 lengths
-        whole = lambda h, i, m=m: F.xxhash64(*(F.get(h, i + k) for k in range(m)))
-        keys = short.where(F.size("h") == m).select("item_id", whole(F.col("h"), F.lit(0)).alias("key")).distinct()
-        starts = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (m - 1), F.lit(0))), lambda x, i, whole=whole: whole(F.col("h"), i))
-        spots = hashed.select("row", F.posexplode(starts).alias("first", "key"))
-        found = found.unionByName(spots.join(_checked(keys, broadcast_rows), "key").select("row", "item_id", "first", (F.col("first") + m).alias("end")))
-    return found
+        found = found.unionByName(_short_hits(hashed, short, m, broadcast_rows))
+    return stored(found, "decontam-hits")
 
 
 def _covered(stretches: Column) -> Column:
@@ -108,33 +142,36 @@ def _covered(stretches: Column) -> Column:
     return F.aggregate(stretches, start, step, lambda s: s["n"])
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (the stretches' words, end exclusive)."""
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    docs = docs.drop(*added)
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+def judge(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A row for each distinct document (row: doc_id and hash of the text): copies, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     found = hits(docs.select(key.alias("row"), "text"), benchmark, broadcast_rows)
-    # first the stretches of a document (at most one for each place and item), then its items: both with partial aggregation
-    spans = found.groupBy("row", "first").agg(F.max("end").alias("end"))
+    total = found.where("item_id is null and first = 0").groupBy("row").agg(F.count("*").alias("copies"), F.max("end").alias("n_words"))
+    stretches = found.where("item_id is not null")
+    spans = stretches.groupBy("row", "first").agg(F.max("end").alias("end"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
-    items = found.groupBy("row", "item_id").agg(F.lit(1)).groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    judged = stored(spans.join(items, "row"), "decontam-judged").select("row", "spans", "items").withColumnRenamed("row", "_row")
-    # repeated rows share a key and the same stretches; eqNullSafe keeps null ids
-    match = (F.col("_row.id").eqNullSafe(F.col("doc_id"))) & (F.col("_row.text") == F.col("_text"))
-    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
-    out = docs.withColumn("n_words", n_words).withColumn("_text", F.xxhash64("text")).join(judged, match, "left")
+    items = stretches.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    out = total.join(spans.join(items, "row"), "row", "left")
     n_hit = F.coalesce(_covered(F.col("spans")).cast("long"), F.lit(0).cast("long"))
-    return (
-        out.withColumn("n_hit", n_hit)
-        .withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)).cast("long"))
-        .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256))
-        .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("_row", "_text", "items")
-    )
+    return out.select(
+        "row", "copies", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans",
+    )
+
+
+def flag(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (the stretches' words, end exclusive)."""
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").withColumn("_hash", F.xxhash64("text"))
+    judged = judge(docs, benchmark, broadcast_rows).drop("copies").withColumnRenamed("row", "_row")
+    same = F.col("_row.id").eqNullSafe(F.col("doc_id")) & (F.col("_row.hash") == F.col("_hash"))
+    return docs.join(judged, same, "left").drop("_row", "_hash")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return flag(docs.select("doc_id", "text"), benchmark.select("item_id", "text")).drop("text", "spans")
+    judged = judge(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    each = judged.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(F.col("row.id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 SQL = r"""
