@@ -54,6 +54,6 @@ def sample(colours: list[tuple[int, int, int]], t: Column) -> Column:
     n = len(colours)
     at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t.cast("double"))) * (n - 1)
     low = F.least(F.floor(at).cast("int"), F.lit(n - 2))
-    channel = {c: F.expr(f"array({', '.join(str(rgb[k]) for rgb in colours)})") for k, c in enumerate("rgb")}
+    channel = {c: F.split(F.lit(" ".join(str(rgb[k]) for rgb in colours)), " ").cast("array<int>") for k, c in enumerate("rgb")}  # few nodes, folded once
     mixed = lambda t: F.get(t, low) + (F.get(t, low + 1) - F.get(t, low)) * (at - low)
     return F.struct(*(F.round(mixed(t)).cast("int").alias(c) for c, t in channel.items()))
