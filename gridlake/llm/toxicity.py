@@ -2,7 +2,7 @@
 
 Words are read character by character with four characters of context. Each class (toxic, ordinary) has its own
 counts at the highest order; both back off to one shared lower-order distribution of Kneser-Ney continuation counts,
-gathered over all documents, so that a rare expression is judged by its spelling. A document is compared by its
+gathered over all documents, so that a rare expression is judged by its spelling; what neither class has seen counts alike. A document is compared by its
 length-normalised log-likelihoods: the mean difference per character over the whole text, and the difference per
 character of its most toxic word. Both go through a logistic calibration.
 
@@ -159,8 +159,11 @@ class Scorer:
         for k in range(2, ORDER):
             gram = grams & ((1 << (CODE_BITS * k)) - 1)
             shared = self._level(get(f"m{k}", gram), get(f"s{k}", gram >> CODE_BITS), get(f"y{k}", gram >> CODE_BITS), shared)
-        toxic, ordinary = (self._level(get(c, grams), get("c" + c, grams >> CODE_BITS), get("k" + c, grams >> CODE_BITS), shared) for c in ("t", "o"))
-        return np.add.reduceat(np.log(toxic) - np.log(ordinary), begin), np.diff(np.append(begin, len(grams)))
+        counts = {c: get(c, grams) for c in ("t", "o")}
+        toxic, ordinary = (self._level(counts[c], get("c" + c, grams >> CODE_BITS), get("k" + c, grams >> CODE_BITS), shared) for c in ("t", "o"))
+        # what neither class has seen has the shared estimate in both: else the class with less text would own all that is new
+        differ = np.where((counts["t"] > 0) | (counts["o"] > 0), np.log(toxic) - np.log(ordinary), 0.0)
+        return np.add.reduceat(differ, begin), np.diff(np.append(begin, len(grams)))
 
     @staticmethod
     def _level(n, total, types, lower):
