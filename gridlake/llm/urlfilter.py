@@ -84,9 +84,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     texts = ruled.groupBy("_text").agg(F.max(verdict).alias("known"))
     texts = stored(texts.withColumn("part", F.when(F.col("known").isNull(), -1).otherwise(F.pmod(F.xxhash64("_text"), F.lit(5)).cast("int"))), "url-texts")
+    dealt = texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")  # few bytes, many grams
     yes = lambda c: (F.col("known") == c).cast("long")
-    examples = texts.where("part > 0").select(F.explode(_grams(F.col("_text"))).alias("gram"), yes("allow").alias("a"), yes("block").alias("r"))
-    judged = texts.where("part <= 0").select("_text", "known", F.explode(_grams(F.col("_text"))).alias("gram"))
+    examples = dealt.where("part > 0").select(F.explode(_grams(F.col("_text"))).alias("gram"), yes("allow").alias("a"), yes("block").alias("r"))
+    judged = dealt.where("part <= 0").select("_text", "known", F.explode(_grams(F.col("_text"))).alias("gram"))
     ratios = stored(_ratios(examples, judged.select("gram").distinct()), "url-ratios")
     scores = stored(judged.join(ratios, "gram").groupBy("_text", "known").agg(F.avg("ratio").alias("url_score")), "url-scores")
 
