@@ -14,6 +14,7 @@ def test_stages_take_effect(spark, tmp_path):
     clean = prose(rng, 120, 9000)
     rows += [(1000, clean), (1001, clean), (1002, clean + " more"), (1003, "before " + item + " after"), (1004, clean[:200] + " token = abcdefghijklmnop"), (1005, None), (1006, "")]
     docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'kept' AS score", "doc_id AS secrets", "'kept' AS grp", "1 AS n_words")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(d, 1, t) for d, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -23,7 +24,7 @@ def test_stages_take_effect(spark, tmp_path):
         at = spark.read.parquet(f"{tmp_path}/{k}")
         seen[name] = {r.doc_id: r for r in at.collect()}
         if k < len(pipeline.STAGES) - 1:
-            assert at.columns == docs.columns
+            assert at.columns == docs.columns and {r.score for r in seen[name].values()} == {"kept"} and all(r.secrets == d for d, r in seen[name].items())
     toxic = {d for d, t in labels if t}
     assert len(toxic & seen["toxicity"].keys()) <= 5 and len(seen["toxicity"]) > 300
     assert {1000, 1001, 1002} & seen["ngram_jaccard"].keys() == {1000} and {1003, 1004, 1005, 1006} <= seen["ngram_jaccard"].keys()
