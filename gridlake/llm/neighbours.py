@@ -91,9 +91,10 @@ def _search_task(group, k: int):
             for start in range(0, len(names), QUERY_TILE):
                 part = queries.rows(slice(start, start + QUERY_TILE))
                 low, high = tile(part, candidates)
-                m = min(k + 1, high.shape[1])  # one more, as a query may meet itself
-                cut = np.partition(high, m - 1, axis=1)[:, m - 1] if m > k else np.full(len(high), np.inf)
-                for j, name in enumerate(names[start : start + QUERY_TILE].tolist()):
+                mine = names[start : start + QUERY_TILE]
+                high[mine[:, None] == of_ids[None, :]] = np.inf  # rows with the query's own id, however many, are no candidates
+                cut = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.inf)
+                for j, name in enumerate(mine.tolist()):
                     now = best[name]
                     limit = min(cut[j], now[-1][0] ** 2 * (1 + 1e-9) + 1e-300) if len(now) == k else cut[j]
                     near = np.flatnonzero((low[j] <= limit) & (of_ids != name))

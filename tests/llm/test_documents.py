@@ -399,3 +399,20 @@ def test_neighbours_are_exact(spark):
     want = sorted((r[0], r[1], r[2], r[3]) for r in con.execute(NEIGHBOURS_SQL).fetchall())
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
     assert neighbours(df.where("vec_id < 0")).count() == 0
+
+
+def test_neighbours_of_an_id_on_many_rows(spark):
+    """Rows with the query's own id take no place among the candidates of a block."""
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 16)).astype("f4")
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    rows += [rows[100]] * 11
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(r[:3] for r in map(tuple, neighbours(df).collect()) if r[0] == 100)
+    con = duckdb.connect()
+    embeddings = df.dropDuplicates(["vec_id"]).toArrow()
+    con.register("embeddings", embeddings)
+    want = sorted(r[:3] for r in con.execute(NEIGHBOURS_SQL).fetchall() if r[0] == 100)
+    assert len(want) == 10 and got == want
