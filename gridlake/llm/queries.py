@@ -55,6 +55,15 @@ def op2_ngram_join(spark, sf_dir):
 ORACLE["op2_ngram_join"] = ngram_join.SQL
 
 
+@query
+def op2_ngram_links(spark, sf_dir):
+    """What op2_ngram_join gives, and each document's number of links."""
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_ngram_links"] = ngram_join.LINKS_SQL
+
+
 @query
 def op4_decontamination(spark, sf_dir):
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -128,8 +128,33 @@ def test_join_equals_brute_force(make_docs, seed):
     assert got == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = [(d, shingles(t)) for d, t in rows]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    n = [0 if d is None else sum(e is not None and j != i and alike(x, y) for j, (e, y) in enumerate(sets)) for i, (d, x) in enumerate(sets)]
+    return sorted((d is None, d or 0, len(x), k) for (d, x), k in zip(sets, n))
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_links_equal_brute_force(make_docs, monkeypatch, block):
+    """Also those between different texts that share a component before they are compared, and in many small blocks."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    rows = near_copies(3) + odd_rows()
+    got = ngram_join.link_counts(make_docs(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.n_links) for r in got) == brute_links(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(rows)
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 8)
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique(rng.integers(0, 90, k)) for k in rng.integers(1, 60, n)] for n in (7, 5))
+    assert ngram_join.shared_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_join_on_an_empty_table(make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
+    assert ngram_join.link_counts(make_docs([])).count() == 0
 
 
 def test_long_texts_hash_like_short_ones(monkeypatch):
