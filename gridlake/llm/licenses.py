@@ -74,8 +74,13 @@ class Scanner:
         found = []
         for rule, spans in windows.items():
             label, _, _, pattern = self.rules[rule]
-            for a, b in spans:
-                found += [(label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(norm, a, b)]
+            places, open_ = [], list(spans)
+            while open_:  # the best place first, then what lies left and right of it
+                a, b = open_.pop()
+                if m := pattern.search(norm, a, b):
+                    places.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    open_ += [(a, m.start()), (m.end(), b)]
+            found += sorted(places)
         return found
 
 

@@ -250,6 +250,12 @@ def test_license_phrases_and_fuzzy_notices(make_docs):
     assert licenses.digest(make_docs([])).count() == 0
 
 
+def test_a_worse_notice_before_a_better_one():
+    scanner = licenses.Scanner({"gnu general public license": "GPL"}, 9)
+    found = scanner.find("gnu genral public license gnu general public license")
+    assert [f[1:] for f in found] == [(0, 25, 1), (26, 52, 0)]
+
+
 def test_seeds_find_all_that_the_regex_finds():
     scanner, rng = licenses.Scanner(), random.Random(6)
     notice = next(iter(licenses.NOTICES))
