@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlake.functions import twkb
-from gridlake.operators import style, tiles
+from gridlake.operators import resample, style, tiles
 from gridlake.plans.registry import query
 from gridlake.plans.table_queries import _zone_polygons
 from gridlake.raster import orders_raster
 
 
-def _tiles(spark):
-    return spark.createDataFrame([(9, 270, 253), (9, 270, 254), (9, 271, 254)], "z int, x int, y int")
+def _tiles(raster):
+    """The tiles of zoom 9 over the whole raster."""
+    west, width, _, north, _, height = raster.gt
+    ends = raster.cells.agg(F.min("row").alias("top"), (F.max("row") + 1).alias("bottom"), F.min("col").alias("left"), (F.max("col") + 1).alias("right"))
+    side = lambda start, step, end: F.lit(start) + F.col(end) * step
+    extent = ends.select(side(west, width, "left").alias("west"), side(west, width, "right").alias("east"), side(north, height, "top").alias("north"), side(north, height, "bottom").alias("south"))
+    return resample.tiles_in_extent(extent, 9).select("z", "x", "y")
 
 
 @query()
 def png_tiles(spark, sf):
-    return tiles.render(_tiles(spark), orders_raster(spark, sf), style.Style(min=1000.0, max=500000.0), 64)
+    raster = orders_raster(spark, sf)
+    return tiles.render(_tiles(raster), raster, style.Style(min=1000.0, max=500000.0), 64)
 
 
 @query()
 def png_hillshade(spark, sf):
-    return tiles.render(_tiles(spark), orders_raster(spark, sf), style.Style(mode="hillshade"), 64, "bilinear")
+    raster = orders_raster(spark, sf)
+    return tiles.render(_tiles(raster), raster, style.Style(mode="hillshade"), 64, "bilinear")
 
 
 @query("SELECT zone_id, 1 AS polygons, x0 AS west, y1 AS north FROM z_nat")

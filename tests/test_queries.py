@@ -26,3 +26,19 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rendered_tiles_cover_the_raster(spark):
+    """Each order's cell lies in one of the tiles."""
+    from pyspark.sql import functions as F
+
+    from gridlake.functions import tilemath
+    from gridlake.raster import orders_raster
+
+    data = "/root/testdata/sf0.01"
+    made = {(r.z, r.x, r.y) for r in QUERIES["png_tiles"](spark, data).select("z", "x", "y").collect()}
+    raster = orders_raster(spark, data)
+    lon, lat = 10 + (F.col("col") + 0.5) * 0.01, 2 - (F.col("row") + 0.5) * 0.01
+    place = tilemath.tile_of(lon, lat, F.lit(9))
+    held = {(9, r.x, r.y) for r in raster.cells.select(place["x"].alias("x"), place["y"].alias("y")).distinct().collect()}
+    assert held == made
