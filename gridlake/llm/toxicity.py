@@ -2,18 +2,21 @@
 
 Words are read character by character with four characters of context. Each class (toxic, ordinary) has its own
 counts at the highest order; both back off to one shared lower-order distribution of Kneser-Ney continuation counts,
-gathered over all documents, so that a rare expression is judged by its spelling; what neither class has seen counts alike. A document is compared by its
-length-normalised log-likelihoods: the mean difference per character over the whole text, and the difference per
-character of its most toxic word. Both go through a logistic calibration.
+gathered over all documents, so that a rare expression is judged by its spelling; what neither class has seen counts alike.
+A document is compared by its length-normalised log-likelihoods, the mean difference per character over the whole text, and by the
+mean difference of its one, three and eight most toxic words (an expression that ordinary texts use now and then tells less
+when it stands alone). They go through a logistic calibration.
 
-Counts weigh a word once per document. Class counts come from at most `train_rows` labelled documents (chosen by hash,
-a documented bound); the shared counts cover every document. All counts fold into tables of BUCKETS cells, whose size
-is fixed, so the model that is broadcast is bounded.
+The corpus's grams stay in a stored table, whole and unhashed, which grows with the input; continuation counts are
+aggregated and joined there. Two classes can only differ on grams that labelled documents have shown, so just those, each with its
+finished log-ratio, are sent to the workers. They come from at most `train_rows` labelled documents (chosen by hash), halved until
+their distinct grams are at most `most_grams`: both are documented bounds of the sample, and of what is broadcast (12 bytes a gram).
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither counts of a class nor the calibration see them.
 Defined results: null or empty texts have no words and get the calibrated score of no evidence; a null doc_id is not
-held out; without usable labels of both classes every score is 0.0; repeated rows are scored each. Extra columns are kept
-by score_documents() unless their names clash with the operator's, which win.
+held out; without usable labels of both classes every score is 0.0; a document with several labels is toxic if one of them says so;
+repeated rows are scored each; an empty table gives no rows. Very long texts are scored whole, a slice of rows at a time. Extra columns are
+kept by score_documents() unless their names clash with the operator's, which win.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from gridlake.llm.common import slices, stored
+from gridlake.llm.common import keep, light, mix64, scratch, slices, stored, tidy
 
 ORDER = 5  # characters of a gram; the last one is predicted
-CODE_BITS = 12  # characters fold to codes of so many bits
-BUCKETS = 1_048_573  # a prime; cells of each count table
+BITS = 21  # of a code point; hi holds a gram's first two characters, lo the last three
 DISCOUNT = 0.75
 TRAIN_ROWS = 20_000
-CACHE_WORDS = 400_000
+MOST_GRAMS = 4_000_000
+CACHE_WORDS = 200_000
 FLUSH_WORDS = 150_000
+TOP = (1, 3, 8)  # most toxic words of a text that are looked at together
+FEATURES = ("mean", *(f"top{k}" for k in TOP), "chars")
 START, END = 2, 3
-LEVELS = range(1, ORDER)
-KINDS = ["t", "o", "ct", "co", "kt", "ko", *(f"{p}{k}" for k in LEVELS for p in ("m", "s", "y"))]
+MASK = (1 << BITS) - 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,158 +59,164 @@ def _letters(chunk: str) -> str:
     return chunk[start:end].lower()
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed ORDER-grams of the words, one for each character and the end, and where each word's grams start."""
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the words' ORDER-grams, one for each character and the end, and where each word's grams start."""
+    if not words:
+        return (np.zeros(0, np.int64),) * 3
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     pad = ORDER - 1
-    starts = np.concatenate([[0], np.cumsum(lengths + pad + 1)[:-1]]) if len(words) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + pad + 1)[:-1]])
     codes = np.full(int((lengths + pad + 1).sum()), START, np.int64)
     inside = np.ones(len(codes), bool)
     for k in range(pad):
         inside[starts + k] = False
     codes[starts + pad + lengths] = END
-    predicted = inside.copy()
+    predicted = inside[pad:].copy()
     inside[starts + pad + lengths] = False
-    codes[inside] = np.maximum(text & ((1 << CODE_BITS) - 1), END + 1)
-    packed = np.zeros(len(codes), np.int64)
-    for k in range(ORDER):
-        packed[pad:] |= codes[pad - k : len(codes) - k] << (CODE_BITS * k)
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(words) else np.zeros(0, np.int64)
-    return packed[predicted], begin
-
-
-def _count_task(labels: dict[int, int]):
-    def run(batches):
-        seen = {kind: Counter() for kind in ("t", "o", "a")}
-
-        def flush():
-            words: Counter[str] = Counter()
-            by_class = {"t": Counter(), "o": Counter()}
-            for chunk, n in seen["a"].items():
-                words[_letters(chunk)] += n
-            for kind in by_class:
-                for chunk, n in seen[kind].items():
-                    by_class[kind][_letters(chunk)] += n
-            words.pop("", None)
-            names = list(words)
-            grams, begin = _grams(names)
-            sizes = np.diff(np.append(begin, len(grams)))
-            unique, where = np.unique(grams, return_inverse=True)
-            columns = [pa.array(unique)]
-            for counts in (by_class["t"], by_class["o"], words):
-                weight = np.repeat(np.fromiter((counts[w] for w in names), np.float64, len(names)), sizes)
-                columns.append(pa.array(np.bincount(where, weight, len(unique)).astype(np.int64)))
-            for counter in seen.values():
-                counter.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["g", "t", "o", "a"])
+    codes[inside] = np.maximum(text, END + 1)
+    a, b, c, d, e = (codes[k : len(codes) - pad + k] for k in range(ORDER))
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    return (a << BITS | b)[predicted], (c << 2 * BITS | d << BITS | e)[predicted], begin
 
-        for batch in slices(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                chunks = set((text or "").split())
-                seen["a"].update(chunks)
-                label = labels.get(doc)
-                if label is not None:
-                    seen["t" if label else "o"].update(chunks)
-            if len(seen["a"]) >= FLUSH_WORDS:
+
+def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix64(lo.view(np.uint64) ^ mix64(hi.view(np.uint64)))
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hi, lo), and which of them each row is."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])[: len(hi)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return hi[new], lo[new], which
+
+
+@light
+def _corpus_task(batches):
+    """(hi, lo) of the texts' words, each now and then again."""
+    seen: set[str] = set()
+
+    def flush():
+        hi, lo, _ = _grams(sorted({_letters(c) for c in seen} - {""}))
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _distinct(hi, lo)[:2]], names=["hi", "lo"])
+
+    for batch in slices(batches):
+        for text in batch.column("text").to_pylist():
+            if text:
+                seen.update(text.split())
+            if len(seen) >= FLUSH_WORDS:
                 yield flush()
-        if seen["a"]:
-            yield flush()
-
-    return run
-
-
-def _fold_counts(counts: DataFrame) -> DataFrame:
-    """(kind, bucket, v): every table of the model, folded into BUCKETS cells each."""
-    cut = lambda g, k: g.bitwiseAND(F.lit((1 << (CODE_BITS * k)) - 1))
-    context = lambda g: F.shiftright(g, CODE_BITS)
-    rows = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.alias("key"), value.cast("double").alias("v"))
-    g = F.col("g")
-    both = counts.where("t > 0 or o > 0")
-    parts = [rows(counts.where(f"{c} > 0"), c, g, F.col(c)) for c in ("t", "o")]
-    parts += [rows(both, "c" + c, context(g), F.col(c)) for c in ("t", "o")]
-    parts += [rows(both, "k" + c, context(g), (F.col(c) > 0).cast("int")) for c in ("t", "o")]
-    level = counts.select(g)
-    for k in reversed(LEVELS):
-        level = level.groupBy(cut(g, k).alias("g")).agg(F.count("*").alias("m"))
-        parts += [rows(level, f"m{k}", g, F.col("m")), rows(level, f"s{k}", context(g), F.col("m")), rows(level, f"y{k}", context(g), F.lit(1))]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionAll(part)
-    return union.groupBy("kind", F.pmod("key", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.sum("v").cast("float").alias("v"))
+    if seen:
+        yield flush()
+
+
+@light
+def _class_task(batches):
+    """(hi, lo, t, o) of the labelled texts: documents that each word stands in, toxic and ordinary."""
+    seen = (Counter(), Counter())
+    for batch in slices(batches):
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            seen[toxic == 0].update({_letters(c) for c in set((text or "").split())} - {""})
+    words = sorted(seen[0].keys() | seen[1].keys())
+    hi, lo, begin = _grams(words)
+    sizes = np.diff(np.append(begin, len(hi)))
+    hi, lo, which = _distinct(hi, lo)
+    counts = (np.bincount(which, np.repeat(np.fromiter((n[w] for w in words), np.float64, len(words)), sizes), len(hi)).astype(np.int64) for n in seen)
+    if words:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *counts)], names=["hi", "lo", "t", "o"])
+
+
+def _level(n: Column, total: Column, types: Column, lower: Column) -> Column:
+    """Absolute discounting: what is seen less the discount, and what was taken off dealt out by the lower order."""
+    top = F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.greatest(types, F.lit(1)) * lower
+    return F.when(total > 0, top / F.greatest(total, n)).otherwise(lower)
+
+
+def log_ratios(corpus: DataFrame, classes: DataFrame) -> DataFrame:
+    """(hi, lo, ratio): log P(toxic) - log P(ordinary) of the last character of each gram in classes (hi, lo, t, o).
+
+    corpus holds the distinct grams of all documents, those of classes among them."""
+    hi, lo = F.col("hi"), F.col("lo")
+    #: key of the last k characters of a gram, and of the k - 1 before the last
+    key = {4: F.struct(hi.bitwiseAND(F.lit(MASK)).alias("hi"), lo), 3: lo, 2: lo.bitwiseAND(F.lit((1 << 2 * BITS) - 1)), 1: lo.bitwiseAND(F.lit(MASK))}
+    before = {4: F.struct(hi.bitwiseAND(F.lit(MASK)).alias("hi"), F.shiftright(lo, BITS).alias("lo")), 3: F.shiftright(lo, BITS), 2: F.shiftright(key[2], BITS), 1: F.lit(0).cast("long")}
+    context = classes.groupBy("hi", F.shiftright(lo, BITS).alias("c")).agg(
+        *(F.sum(x).alias("c" + x) for x in "to"), *(F.sum((F.col(x) > 0).cast("long")).alias("k" + x) for x in "to")
+    )
+    found = classes.withColumn("c", F.shiftright(lo, BITS)).join(context, ["hi", "c"]).drop("c")
+    shared, level = None, corpus.select("hi", "lo")
+    for k in (4, 3, 2, 1):
+        level = level.groupBy(key[k].alias("key")).agg(F.count("*").alias(f"m{k}"), F.first(before[k]).alias("before"))
+        totals = level.groupBy("before").agg(F.sum(f"m{k}").alias(f"s{k}"), F.count("*").alias(f"y{k}"))
+        found = found.withColumn("key", key[k]).join(level.drop("before"), "key").drop("key")
+        found = found.withColumn("before", before[k]).join(totals, "before").drop("before")
+        rest = F.col("key.hi"), F.col("key.lo")
+        level = level.select(*(rest if k == 4 else (F.lit(0).cast("long").alias("hi"), F.col("key").alias("lo"))))
+    for k in (1, 2, 3, 4):
+        m, s, y = (F.col(f"{x}{k}") for x in "msy")
+        shared = (m + 1) / (s + y + 1) if shared is None else _level(m, s, y, shared)
+    toxic, ordinary = (_level(F.col(x), F.col("c" + x), F.col("k" + x), F.col("shared")) for x in "to")
+    return found.withColumn("shared", shared).select("hi", "lo", (F.ln(toxic) - F.ln(ordinary)).cast("float").alias("ratio"))
 
 
 class Scorer:
-    """Log-likelihood differences of words under the folded tables."""
+    """Log-likelihood differences of words, from the grams' ratios; other grams count alike in both classes."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, ratio: np.ndarray):
+        keys = _key(hi, lo)
+        order = np.argsort(keys)
+        self.keys, self.ratio = keys[order], ratio[order]
+        self._empty()
 
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.tables = {}
-        for kind in KINDS:
-            cells = np.zeros(BUCKETS, np.float32)
-            if kind in tables:
-                cells[tables[kind][0]] = tables[kind][1]
-            self.tables[kind] = cells
-        self.known: dict[str, tuple[float, int]] = {}
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.value, self.size = np.zeros(0), np.zeros(0)
 
     def words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-likelihood difference and predicted characters of each word."""
-        grams, begin = _grams(names)
-        if not len(grams):
-            return np.zeros(len(names)), np.zeros(len(names), np.int64)
-        get = lambda kind, key: self.tables[kind][key % BUCKETS].astype(np.float64)
-        total = max(float(self.tables["s1"][0]), 1.0)
-        unit = grams & ((1 << CODE_BITS) - 1)
-        shared = (get("m1", unit) + 1) / (total + (1 << CODE_BITS))
-        for k in range(2, ORDER):
-            gram = grams & ((1 << (CODE_BITS * k)) - 1)
-            shared = self._level(get(f"m{k}", gram), get(f"s{k}", gram >> CODE_BITS), get(f"y{k}", gram >> CODE_BITS), shared)
-        counts = {c: get(c, grams) for c in ("t", "o")}
-        toxic, ordinary = (self._level(counts[c], get("c" + c, grams >> CODE_BITS), get("k" + c, grams >> CODE_BITS), shared) for c in ("t", "o"))
-        # what neither class has seen has the shared estimate in both: else the class with less text would own all that is new
-        differ = np.where((counts["t"] > 0) | (counts["o"] > 0), np.log(toxic) - np.log(ordinary), 0.0)
-        return np.add.reduceat(differ, begin), np.diff(np.append(begin, len(grams)))
-
-    @staticmethod
-    def _level(n, total, types, lower):
-        top = np.maximum(n - DISCOUNT, 0) + DISCOUNT * np.maximum(types, 1) * lower
-        return np.where(total > 0, top / np.maximum(np.maximum(total, n), 1e-9), lower)
-
-    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: mean difference per character, the largest one of a word, and its characters."""
+        """Summed log-likelihood difference and predicted characters of each word; none for an empty one."""
+        hi, lo, begin = _grams(names)
+        differ = np.zeros(len(hi) + 1)
+        if len(hi) and len(self.keys):
+            keys = _key(hi, lo)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            differ[:-1] = np.where(self.keys[at] == keys, self.ratio[at], 0)
+        size = np.array([len(w) + 1 if w else 0 for w in names], float)
+        return np.where(size > 0, np.add.reduceat(differ, begin) if names else 0, 0), size
+
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """FEATURES of each text: mean difference per character, means of the words' largest differences, characters."""
         split = [(t or "").split() for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
+        new = {c for chunks in split for c in chunks if c not in self.known}
+        if len(self.known) > CACHE_WORDS:
+            self._empty()
+            new = {c for chunks in split for c in chunks}
         if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list({c for chunks in split for c in chunks})
-            names = [_letters(c) for c in new]
-            real = [i for i, w in enumerate(names) if w]
-            value, size = np.zeros(len(new)), np.zeros(len(new), np.int64)
-            value[real], size[real] = self.words([names[i] for i in real])
-            self.known.update(zip(new, zip(value.tolist(), size.tolist())))
-        mean, top, chars = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+            value, size = self.words([_letters(c) for c in new])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.value, self.size = np.concatenate([self.value, value]), np.concatenate([self.size, size])
+        out = np.zeros((len(texts), len(FEATURES)))
         for i, chunks in enumerate(split):
             if chunks:
-                got = np.array([self.known[c] for c in chunks])
-                chars[i] = got[:, 1].sum()
-                mean[i] = got[:, 0].sum() / max(chars[i], 1)
-                top[i] = max(0.0, (got[:, 0] / np.maximum(got[:, 1], 1)).max())
-        return mean, top, chars
-
-
-_SCORERS: dict[str, Scorer] = {}
+                rows = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+                value, chars = self.value[rows], self.size[rows].sum()
+                most = np.partition(value, len(value) - TOP[-1])[-TOP[-1] :] if len(value) > TOP[-1] else value
+                most = np.sort(np.maximum(most, 0))[::-1]
+                out[i] = value.sum() / max(chars, 1), *(most[:k].sum() / k for k in TOP), chars
+        return out
 
 
 def _scorer(broadcast, model_id: str) -> Scorer:
-    """One scorer for each model in a Python worker; its word cache outlives a task."""
-    if model_id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model_id] = Scorer(broadcast.value)
-    return _SCORERS[model_id]
+    """One scorer in a Python worker; its word cache outlives a task."""
+    return keep(("toxicity", model_id), lambda: Scorer(*broadcast.value))
 
 
-def features_of(mean, top, chars) -> np.ndarray:
-    return np.column_stack([np.ones(len(mean)), np.clip(mean, -1, 1) * 10, np.minimum(top, 5), np.log1p(chars) / 10])
+def features_of(found: np.ndarray) -> np.ndarray:
+    mean, one, *more, chars = found.T
+    return np.column_stack([np.ones(len(mean)), np.clip(mean, -1, 1) * 10, one / 10, *(x / 5 for x in more), np.log1p(chars) / 10])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -221,46 +232,49 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
-    """(broadcast tables, their id, weights of the calibration), or None if the labels don't hold both classes."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most_grams: int = MOST_GRAMS):
+    """(broadcast ratios, their id, weights of the calibration), or None if the labels don't hold both classes."""
     spark = docs.sparkSession
-    chosen = (
-        labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .select("doc_id", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("part"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toArrow()
-    )
-    ids, toxic, part = (chosen.column(c).to_numpy() for c in ("doc_id", "toxic", "part"))
-    if len(set(toxic.tolist())) < 2:
+    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    each = usable.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    chosen = each.withColumn("part", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = chosen.toArrow()  # at most train_rows rows
+    if len(chosen.column("toxic").unique()) < 2:
         return None
-    model = {int(d): int(t) for d, t, p in zip(ids, toxic, part) if p != 4}
     texts = docs.select("doc_id", "text")
-    grams = texts.mapInArrow(_count_task(model), "g long, t long, o long, a long")
-    counts = stored(grams.groupBy("g").agg(*(F.sum(c).alias(c) for c in ("t", "o", "a"))), "toxicity-grams")
-    folded = _fold_counts(counts).toArrow()
-    kinds = folded.column("kind").to_numpy(zero_copy_only=False)
-    bucket, v = folded.column("bucket").to_numpy(), folded.column("v").to_numpy()
-    tables = {kind: (bucket[kinds == kind].astype(np.int32), v[kinds == kind].astype(np.float32)) for kind in KINDS}
-    shared, model_id = spark.sparkContext.broadcast(tables), uuid.uuid4().hex
-    checks = {int(d): int(t) for d, t, p in zip(ids, toxic, part) if p == 4}
+    rows = min(train_rows, chosen.num_rows)
+    while True:  # the sample shrinks until its grams fit what is broadcast
+        sample = spark.createDataFrame(chosen.slice(0, rows))
+        labelled = texts.join(F.broadcast(sample), "doc_id")
+        counted = labelled.where("part <> 4").select("text", "toxic").mapInArrow(_class_task, "hi long, lo long, t long, o long")
+        classes = stored(counted.groupBy("hi", "lo").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-classes")
+        if rows == 1 or classes.count() <= most_grams:
+            break
+        rows //= 2
+    corpus = stored(texts.select("text").mapInArrow(_corpus_task, "hi long, lo long").distinct(), "toxicity-corpus")
+    ratios = log_ratios(corpus, classes).toArrow()
+    model = tuple(ratios.column(c).to_numpy() for c in ("hi", "lo", "ratio"))
+    shared, model_id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def features(batches):
         scorer = _scorer(shared, model_id)
         for batch in slices(batches):
-            got = [(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if d in checks]
-            if got:
-                mean, top, chars = scorer.documents([t for _, t in got])
-                yield pa.RecordBatch.from_arrays([pa.array([checks[d] for d, _ in got], pa.int32()), *(pa.array(x) for x in (mean, top, chars))], names=["y", "mean", "top", "chars"])
+            found = scorer.documents(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x) for x in found.T.copy())], names=["y", *FEATURES])
 
-    found = texts.mapInArrow(features, "y int, mean double, top double, chars double").toArrow().to_pandas()
-    if found.y.nunique() < 2:
-        return shared, model_id, np.array([-2.0, 1.0, 1.0, 0.0])
-    return shared, model_id, fit_logistic(features_of(found["mean"], found["top"], found["chars"]), found["y"].to_numpy(float))
+    checks = labelled.where("part = 4").select("text", "toxic")
+    found = checks.mapInArrow(features, "y int, " + ", ".join(f"{c} double" for c in FEATURES)).toArrow()  # at most train_rows labels
+    x = np.column_stack([found.column(c).to_numpy() for c in FEATURES])
+    y = found.column("y").to_numpy()
+    if len(set(y.tolist())) < 2:
+        return shared, model_id, np.array([-2.0, 1.0, *([1.0] * len(TOP)), 0.0])
+    return shared, model_id, fit_logistic(features_of(x), y.astype(float))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most_grams: int = MOST_GRAMS) -> DataFrame:
     """docs with held_out boolean, score double and predicted int."""
-    fitted = fit(docs, labels, train_rows)
+    with scratch(docs.sparkSession):
+        fitted = fit(docs, labels, train_rows, most_grams)
     kept = docs.drop("held_out", "score", "predicted")
     if fitted is None:
         scored = kept.withColumn("score", F.lit(0.0))
@@ -270,14 +284,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         def score(batches):
             scorer = _scorer(shared, model_id)
             for batch in slices(batches):
-                mean, top, chars = scorer.documents(batch.column("text").to_pylist())
-                value = 1 / (1 + np.exp(-np.clip(features_of(mean, top, chars) @ weights, -30, 30)))
+                found = scorer.documents(batch.column("text").to_pylist())
+                value = 1 / (1 + np.exp(-np.clip(features_of(found) @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, "score"])
+            tidy()
 
-        from pyspark.sql.types import DoubleType, StructType
-
-        schema = StructType([*kept.schema.fields]).add("score", DoubleType())
-        scored = kept.mapInArrow(score, schema)
+        scored = kept.mapInArrow(score, StructType([*kept.schema.fields]).add("score", DoubleType()))
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
