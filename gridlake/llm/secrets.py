@@ -7,7 +7,7 @@ alone are verified by the regex. A rule without a mandatory trigram scans every
 their number, counted first, is at most `broadcast_rows`; else Spark joins by shuffle.
 
 Places of matches come from the text around them: the pieces between matches and the matches alternate, so their lengths
-add up to code points. Base kinds find leftmost non-overlapping matches first and then drop those that fail the length.
+add up to code points (prefix sums by doubling, so that a text of many matches costs n log n). Redaction cuts the text into chunks once. Base kinds find leftmost non-overlapping matches first and then drop those that fail the length.
 
 Defined results: null and empty texts have no span and the digest of nothing; repeated rows are scanned each; an empty
 table gives no rows; extra columns are kept by scan() unless their names clash.
@@ -22,9 +22,11 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import lower_ascii, stored
+from gridlake.llm.common import lower_ascii, scratch, stored
 
 BROADCAST_ROWS = 200_000
+CHUNK = 4096  # characters of a text that redaction cuts at a time
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 MOST_STRINGS = 48  # of an exact set while a regex is read
 
 
@@ -139,22 +141,37 @@ def candidates(index: DataFrame, queries: dict[str, list[Clause]]) -> DataFrame:
     return by_key.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, both) -> Column:
+    """Running values of an array under an associative function, by doubling: after k steps each element covers 2^k."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int"))
+
+    def step(state: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(state, lambda v, i: F.when(i >= reach, both(F.get(state, i - reach), v)).otherwise(v))
+
+    return F.when(F.size(values) > 0, F.aggregate(steps, values, step)).otherwise(values)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, end, kind>> of the rule's kept matches in code points, end exclusive."""
     regex = F.lit(rule.scan or rule.regex)
     between = F.transform(F.split(text, rule.scan or rule.regex, -1), F.length)
     matches = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
-    kept = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
-    rows = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("size"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
+    groups = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length)
+    found = F.struct(between.alias("between"), matches.alias("matches"), groups.alias("groups"))
 
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + row["gap"]
-        end = begin + row["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(row["kept"], F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    def place(found: Column) -> Column:
+        ends = _running(F.transform(found["matches"], lambda n, i: n + F.get(found["between"], i)), lambda x, y: x + y)
+        rows = F.arrays_zip(ends.alias("end"), found["matches"].alias("size"), found["groups"].alias("group"))
+        kept = F.filter(rows, lambda r: r["group"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct((r["end"] - r["size"]).alias("start"), F.lit(rank).alias("rank"), r["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    return _let(found, place)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -162,10 +179,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     docs = docs.drop("secrets", "_key", "_kinds")
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
-    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast(SPANS)
     if queries:
-        index = postings(keyed.select(F.col("_key").alias("key"), "text"), queries)
-        found = stored(candidates(index, queries), "secrets-candidates")
+        with scratch(docs.sparkSession):
+            index = postings(keyed.select(F.col("_key").alias("key"), "text"), queries)
+            found = stored(candidates(index, queries), "secrets-candidates", keep=True)
         few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
         found = found.select(F.col("key.id").alias("_id"), F.col("key.text").alias("_hash"), F.col("kinds").alias("_kinds"))
         same = F.col("_id").eqNullSafe(F.col("_key.id")) & (F.col("_hash") == F.col("_key.text"))
@@ -179,19 +197,31 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     return keyed.withColumn("secrets", F.array_sort(F.concat(*each))).drop("_key", "_kinds")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of the text replaced by the mark; overlapping secrets become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _cut(chunks: Column, begin: Column, end: Column) -> Column:
+    """The characters [begin, end) of a text in chunks."""
+    a, b = F.floor(begin / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    part = lambda k, at, n: F.coalesce(F.substring(F.get(chunks, k), at + 1, n), F.lit(""))
+    across = F.concat(part(a, begin % CHUNK, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), part(b, F.lit(0), end % CHUNK))
+    return F.when(a == b, part(a, begin % CHUNK, end - begin)).otherwise(across)
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each run of overlapping spans, which are sorted by start."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def body(known: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(known["reach"], i - 1)).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(_cut(known["chunks"], before(i), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), _cut(known["chunks"], F.element_at(known["reach"], -1), F.length(text)))
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"])
-        fresh = F.concat(state["out"], gap, F.lit(mark))
-        joined = (state["at"] > span["start"]) & (state["out"] != "")
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(joined, state["out"]).otherwise(fresh).alias("out"))
+    return _let(F.struct(chunks.alias("chunks"), reach.alias("reach")), body)
 
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret of the text replaced by the mark; overlapping secrets become one mark."""
     found = scan(docs)
-    return found.withColumn("text", F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(F.col("text"))).drop("secrets")
+    return found.withColumn("text", F.when(F.size("secrets") > 0, _redacted(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text"))).drop("secrets")
 
 
 def digest(docs: DataFrame) -> DataFrame:
