@@ -1,13 +1,14 @@
 """Token counts by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a word between ASCII white space with the mark U+2581 before it. Distinct pre-tokens go into a trie, whose nodes
-are visited once each: the best unigram score of a prefix (forward score) is computed from the scores of shorter prefixes
+A pre-token is a word between ASCII white space with the mark U+2581 before it. Distinct pre-tokens go into one trie for each Python worker, which
+lives on from task to task and whose nodes are computed once each: the best unigram score of a prefix (forward score) follows from the scores of shorter prefixes
 on the same path, so words share the work of their common beginnings; a terminal node keeps its word's counts. The
 vocabulary is that of a public SentencePiece file; as it holds ranks but no probabilities, a piece's score is that of Zipf's
 law, -ln(rank + 1). A character outside the vocabulary falls back to one token for each of its UTF-8 bytes. Ties go to fewer
 tokens.
 
-Each Python worker remembers counts of at most CACHE_WORDS words, so memory is bounded and no vocabulary is gathered. Defined
+A worker's trie starts anew beyond MOST_NODES nodes, and a word of more than LONG characters is walked alone with the scores of its last prefixes at hand, so
+memory is bounded and no vocabulary is gathered. Defined
 results: null and empty texts count 0; repeated rows are counted each; an empty table gives no rows; extra columns
 are kept by count_tokens() unless their names clash.
 """
@@ -15,16 +16,19 @@ are kept by count_tokens() unless their names clash.
 from __future__ import annotations
 
 import math
+from array import array
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from gridlake.llm.common import slices
+from gridlake.llm.common import keep, slices
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+MOST_NODES = 400_000  # of the trie that a worker keeps
+LONG = 256  # characters; longer words share no prefix worth keeping
 BYTE_PENALTY = 25.0  # a fallback byte's negative score; beyond any piece's
 
 
@@ -44,75 +48,82 @@ def load_scores(path: str) -> dict[str, float]:
 
 
 class TrieCounter(dict):
-    """word -> its row of `counts` (tokens, fallback bytes, score)."""
+    """word -> the node where it ends, in a trie that grows from word to word; nodes hold the forward scores of their prefixes."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
+        self.most_nodes, self.longest = most_nodes, max(map(len, scores), default=1)
         self.endings: dict = {}  # pieces spelled backwards, so that a step stops where no piece ends so
         for piece, score in scores.items():
             node = self.endings
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = score
-        self.counts = np.zeros((0, 3))
-
-    def add(self, words: dict[str, bytes]) -> None:
-        """Count new words, kept under their bytes; one visit for each node of their trie."""
-        root: dict = {}
-        for word, key in words.items():
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = key
-        path, states, found = [], [(0.0, 0, 0)], []
-        self._enter(MARK, path, states)
-        stack = [iter(root.items())]
-        while stack:
-            for c, child in stack[-1]:
-                if c == "":
-                    score, tokens, fallback = states[-1]
-                    self[child] = len(self.counts) + len(found)
-                    found.append((tokens, fallback, score))
-                    continue
-                self._enter(c, path, states)
-                stack.append(iter(child.items()))
-                break
-            else:
-                stack.pop()
-                path.pop()
-                states.pop()
-        self.counts = np.concatenate([self.counts, np.array(found, float).reshape(-1, 3)])
+        self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.counts = np.zeros((0, 3))
-
-    def total(self, words: list[bytes]) -> np.ndarray:
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.counts[rows].sum(axis=0)
-
-    def _enter(self, c: str, path: list[str], states: list[tuple]) -> None:
-        """The state (score, tokens, fallback bytes) of the prefix that c ends, from those of shorter prefixes."""
-        path.append(c)
-        node, best, k = self.endings, None, 0
-        for c_ in reversed(path):
-            node = node.get(c_)
+        self.children: dict[int, int] = {}  # node and character -> node
+        self.score, self.tokens, self.fallback = array("d", [0.0]), array("q", [0]), array("q", [0])
+        self.mark = self._node(self._forward(MARK, lambda k: (0.0, 0, 0)))
+
+    def _node(self, state: tuple[float, int, int]) -> int:
+        for column, value in zip((self.score, self.tokens, self.fallback), state):
+            column.append(value)
+        return len(self.score) - 1
+
+    def _state(self, node: int) -> tuple[float, int, int]:
+        return self.score[node], self.tokens[node], self.fallback[node]
+
+    def _forward(self, text: str, without) -> tuple[float, int, int]:
+        """The state of a text, given those of its shorter prefixes: without(k) is that of the text without its last k characters."""
+        node, best = self.endings, None
+        for k, c in enumerate(reversed(text), 1):
+            node = node.get(c)
             if node is None:
                 break
-            k += 1
             piece = node.get("")
             if piece is not None:
-                before = states[-k]
+                before = without(k)
                 value, count = before[0] + piece, before[1] + 1
                 if best is None or value > best[0] or value == best[0] and count < best[1]:
                     best = (value, count, before[2])
         if best is None:
-            n = len(c.encode("utf-8", "surrogatepass"))
-            score, tokens, fallback = states[-1]
+            n = len(text[-1].encode("utf-8", "surrogatepass"))
+            score, tokens, fallback = without(1)
             best = (score - BYTE_PENALTY * n, tokens + n, fallback + n)
-        states.append(best)
+        return best
+
+    def add(self, word: str, key: bytes) -> None:
+        """Count a new word, kept under its bytes. Only nodes that no word has made before are computed."""
+        if len(word) > LONG:
+            self[key] = self._node(self._alone(MARK + word))
+            return
+        node, path, children = self.mark, [0, self.mark], self.children
+        for i, c in enumerate(word):
+            edge = node << 21 | ord(c)
+            child = children.get(edge)
+            if child is None:
+                text = (MARK + word[: i + 1])[-self.longest :]
+                child = children[edge] = self._node(self._forward(text, lambda k: self._state(path[-k])))
+            node = child
+            path.append(node)
+        self[key] = node
+
+    def _alone(self, text: str) -> tuple[float, int, int]:
+        """The state of a very long text; only those of the last prefixes are held."""
+        states = deque([(0.0, 0, 0)], maxlen=self.longest)
+        for i in range(len(text)):
+            states.append(self._forward(text[max(0, i + 1 - self.longest) : i + 1], lambda k: states[-k]))
+        return states[-1]
+
+    def full(self) -> bool:
+        return len(self.score) > self.most_nodes
+
+    def total(self, words: list[bytes]) -> np.ndarray:
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array([np.frombuffer(c, k)[rows].sum() for c, k in ((self.tokens, np.int64), (self.fallback, np.int64), (self.score, float))], float)
 
 
-_COUNTERS: dict[str, TrieCounter] = {}
 ADDED = [StructField("n_pretokens", LongType()), StructField("n_tokens", LongType()), StructField("n_fallback", LongType()), StructField("log_score", DoubleType())]
 
 
@@ -122,17 +133,13 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches):
         path = model or default_model()
-        if path not in _COUNTERS:
-            _COUNTERS[path] = TrieCounter(load_scores(path))
-        counter = _COUNTERS[path]
+        counter = keep(("tokens", path), lambda: TrieCounter(load_scores(path)))
         for batch in slices(batches):
             split = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            new = {w for words in split for w in words if w not in counter}
-            if new:
-                if len(counter) > CACHE_WORDS:
-                    counter.forget()
-                    new = {w for words in split for w in words}
-                counter.add({w.decode(): w for w in new})
+            if counter.full():
+                counter.forget()
+            for word in {w for words in split for w in words if w not in counter}:
+                counter.add(word.decode(), word)
             out = np.zeros((len(split), 3))
             for i, words in enumerate(split):
                 if words:
