@@ -25,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import slices, stored
+from gridlake.llm.common import keep, slices, stored
 
 SIZE = 2048
 END_ID = 1
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
+LONG_CHUNK = 1000  # bytes; the plain merge is quadratic in a word, the tokenizer's own is not
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -53,6 +54,8 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["model"].get("type") != "BPE" or spec["model"].get("end_of_word_suffix") != "</w>" or '"Lowercase"' not in json.dumps(spec["normalizer"]) or '"NFC"' not in json.dumps(spec["normalizer"]):
+            raise ValueError(f"{path} is no lower-casing NFC word BPE, which is what these rules are for")
         special = {t["content"] for t in spec["added_tokens"]}
         byte_of = _byte_alphabet()
         ranks = {}
@@ -73,6 +76,8 @@ class WordIds(dict):
             text = text.lower()
         else:
             text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        if len(chunk) > LONG_CHUNK:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = []
         for word in self.words(text):
             ids += self.merge(word.encode() + b"\xff")
@@ -92,13 +97,8 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_IDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+    return keep(("words", path), lambda: WordIds(path))
 
 
 def _pieces_task(path: str | None, size: int):
@@ -132,7 +132,10 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
             while room >= length and not packs.get(room):
                 room -= 1
             if room < length:
-                packs[size - length].append((left, (length,)))
+                each = size // length  # a new pack is the shortest one until no piece of this length fits
+                full, rest = divmod(left, each)
+                packs[size - each * length] += [(full, (length,) * each)] * (full > 0)
+                packs[size - rest * length] += [(1, (length,) * rest)] * (rest > 0)
                 break
             count, pattern = packs[room].pop()
             used = min(count, left)
