@@ -5,7 +5,7 @@ every 10 words that a document shares with an item keep a common fingerprint at
 benchmark fingerprints are joined; around each hit the neighbouring words, carried with the fingerprint, are compared and
 the hit is extended by up to five words to either side. A stretch of 10 equal words or more is an occurrence of item
 windows; the union of the stretches is what is hit. Items of fewer than 10 words are one window each and are joined on
-the hash of all their words, length by length. Item fingerprints are broadcast only if their number, counted first, is at most
+the hash of all their words, all lengths in one pass. Item fingerprints are broadcast only if their number, counted first, is at most
 `broadcast_rows`; else Spark joins by shuffle.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased. Defined results: null and empty texts have no words and
@@ -14,10 +14,12 @@ no hit, null items no window; repeated documents are judged each and repeated it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import lower_ascii, stored
+from gridlake.llm.common import lower_ascii, scratch, stored
 
 K = 5
 W = 6
@@ -66,6 +68,10 @@ def _cells(prints: DataFrame, limit: int) -> Column | None:
     rows = prints.select("fp").distinct().limit(limit + 1).toArrow().column("fp").to_pylist()
     if len(rows) > limit:
         return None
+    return _bitmap(rows)
+
+
+def _bitmap(rows: list[int]) -> Column:
     size = max(64, min(MOST_CELLS, 1 << (32 * len(rows)).bit_length()))
     words = [0] * (size // 64)
     for fp in rows:
@@ -74,6 +80,13 @@ def _cells(prints: DataFrame, limit: int) -> Column | None:
     return F.array(*(F.lit(w - (1 << 64) if w >> 63 else w) for w in words))
 
 
+def _held(value: Column, cells: Column) -> Column:
+    """Whether a bitmap has the value's cell."""
+    cell = value.bitwiseAND(F.size(cells).cast("long") * 64 - 1)
+    word = F.get(cells, F.shiftright(cell, 6).cast("int"))
+    return F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", word, cell.bitwiseAND(F.lit(63)).cast("int"))) == 1
+
+
 def _winnowed(hashed: DataFrame, cells: Column | None = None, tally: bool = False) -> DataFrame:
     """One row per fingerprint: the frame's columns but h, and fp, place, around; with cells, only those that the bitmap has.
 
@@ -83,26 +96,31 @@ def _winnowed(hashed: DataFrame, cells: Column | None = None, tally: bool = Fals
     packed = _winnow(F.col("g"))
     if cells is not None:
         with_cells = with_grams.withColumn("g", packed).withColumn("cells", cells)
-        cell = lambda p: _fingerprint(p).bitwiseAND(F.size("cells").cast("long") * 64 - 1)
-        held = lambda p: F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.get("cells", F.shiftright(cell(p), 6).cast("int")), cell(p).bitwiseAND(F.lit(63)).cast("int"))) == 1
-        with_grams, packed = with_cells, F.filter("g", held)
+        with_grams, packed = with_cells, F.filter("g", lambda p: _held(_fingerprint(p), F.col("cells")))
     rows = F.transform(packed, lambda p: F.struct(_fingerprint(p).alias("fp"), _place(p).alias("place"), _around(F.col("h"), _place(p)).alias("around")))
     if tally:
         rows = F.concat(rows, F.array(F.struct(F.lit(TALLY).alias("fp"), F.size("h").alias("place"), F.array().cast("array<long>").alias("around"))))
     return with_grams.select(*kept, F.inline(rows))
 
 
-def _checked(small: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+def _short_hits(hashed: DataFrame, short: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """Hits of the items that have fewer words than a window: every run of so many words whose hash the items' bitmap has, in one pass."""
+    whole = lambda h, i, m: F.xxhash64(F.lit(m), *(F.get(h, i + k) for k in range(m)))
+    lengths = [r["m"] for r in short.select(F.size("h").alias("m")).distinct().collect()]  # at most WINDOW - 1
+    if not lengths:
+        return None
+    keyed = reduce(lambda rest, m: F.when(F.size("h") == m, whole(F.col("h"), F.lit(0), m)).otherwise(rest), lengths, F.lit(None).cast("long"))
+    keys = stored(short.select("item_id", F.size("h").alias("m"), keyed.alias("key")).distinct(), "decontam-short")
+    known = keys.select("key").distinct().limit(broadcast_rows + 1).toArrow().column("key").to_pylist()
+    few = len(known) <= broadcast_rows
+    spots = hashed.withColumn("cells", _bitmap(known)) if few else hashed
 
+    def places(m: int) -> Column:
+        at = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (m - 1), F.lit(0))), lambda x, i: F.struct(F.lit(m).alias("m"), i.alias("first"), whole(F.col("h"), i, m).alias("key")))
+        return F.filter(at, lambda p: _held(p["key"], F.col("cells"))) if few else at
 
-def _short_hits(hashed: DataFrame, short: DataFrame, m: int, broadcast_rows: int) -> DataFrame:
-    """Hits of the items that have m words, fewer than a window."""
-    whole = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(m)))
-    keys = short.where(F.size("h") == m).select("item_id", whole(F.col("h"), F.lit(0)).alias("key")).distinct()
-    starts = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (m - 1), F.lit(0))), lambda x, i: whole(F.col("h"), i))
-    spots = hashed.select("row", F.posexplode(starts).alias("first", "key"))
-    return spots.join(_checked(keys, broadcast_rows), "key").select("row", "item_id", "first", (F.col("first") + m).alias("end"))
+    spots = spots.select("row", F.inline(F.concat(*map(places, lengths))))
+    return spots.join(F.broadcast(keys) if few else keys, ["m", "key"]).select("row", "item_id", "first", (F.col("first") + F.col("m")).alias("end"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -129,10 +147,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     stretch = pairs.where(total | middle).select("row", "item_id", F.when(total, 0).otherwise(F.col("place") - left).alias("first"), F.when(total, F.col("place")).otherwise(F.col("place") + K + right).alias("end"), total.alias("total"))
     found = stretch.where(F.col("total") | (F.col("end") - F.col("first") >= WINDOW)).drop("total")
 
-    short = items.where(F.size("h") < WINDOW)
-    for m in [r["m"] for r in short.select(F.size("h").alias("m")).distinct().collect()]:  # at most WINDOW - 1 lengths
-        found = found.unionByName(_short_hits(hashed, short, m, broadcast_rows))
-    return stored(found, "decontam-hits")
+    short = _short_hits(hashed, items.where(F.size("h") < WINDOW), broadcast_rows)
+    return stored(found if short is None else found.unionByName(short), "decontam-hits", keep=True)
 
 
 def _covered(stretches: Column) -> Column:
@@ -145,7 +161,8 @@ def _covered(stretches: Column) -> Column:
 def judge(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each distinct document (row: doc_id and hash of the text): copies, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    found = hits(docs.select(key.alias("row"), "text"), benchmark, broadcast_rows)
+    with scratch(docs.sparkSession):
+        found = hits(docs.select(key.alias("row"), "text"), benchmark, broadcast_rows)
     total = found.where("item_id is null and first = 0").groupBy("row").agg(F.count("*").alias("copies"), F.max("end").alias("n_words"))
     stretches = found.where("item_id is not null")
     spans = stretches.groupBy("row", "first").agg(F.max("end").alias("end"))
