@@ -18,13 +18,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import lower_ascii, stored
+from gridlake.llm.common import FEW_ROWS, lower_ascii, scratch, stored
 
 #: The rules of the contract.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER = 5
 START, END = "\x02", "\x03"
 UNIFORM = 1 / 256
+SALTS = 16  # parts of a gram's rows, where the ratios are too many to broadcast
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -82,23 +83,35 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = located.withColumn("rule", rule).withColumn("_text", F.concat("host", "path"))
     verdict = reduce(lambda rest, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(rest), rules, F.lit(None).cast("string"))
 
+    with scratch(pages.sparkSession):
+        scores, threshold = _scores(ruled, verdict)
+    scored = ruled.join(scores.select("_text", "url_score"), "_text", "left")
+    method = F.when(F.coalesce("url_score", F.lit(0.0)) >= threshold, "allow").otherwise("block")
+    return scored.withColumn("verdict", F.coalesce(verdict, method)).drop("_text")
+
+
+def _scores(ruled: DataFrame, verdict: Column) -> tuple[DataFrame, float]:
+    """(_text, known, url_score) of what the models judge, stored, and the threshold between the classes."""
     texts = ruled.groupBy("_text").agg(F.max(verdict).alias("known"))
     texts = stored(texts.withColumn("part", F.when(F.col("known").isNull(), -1).otherwise(F.pmod(F.xxhash64("_text"), F.lit(5)).cast("int"))), "url-texts")
-    dealt = texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")  # few bytes, many grams
+    dealt = texts.repartition(int(ruled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")  # few bytes, many grams
     yes = lambda c: (F.col("known") == c).cast("long")
     examples = dealt.where("part > 0").select(F.explode(_grams(F.col("_text"))).alias("gram"), yes("allow").alias("a"), yes("block").alias("r"))
     judged = dealt.where("part <= 0").select("_text", "known", F.explode(_grams(F.col("_text"))).alias("gram"))
     ratios = stored(_ratios(examples, judged.select("gram").distinct()), "url-ratios")
-    scores = stored(judged.join(ratios, "gram").groupBy("_text", "known").agg(F.avg("ratio").alias("url_score")), "url-scores")
+    if ratios.count() <= FEW_ROWS:
+        valued = judged.join(F.broadcast(ratios), "gram")
+    else:  # the grams that begin every URL would meet in one task
+        salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        valued = judged.withColumn("salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    scores = stored(valued.groupBy("_text", "known").agg(F.avg("ratio").alias("url_score")), "url-scores", keep=True)
 
     stats = {r["known"]: r for r in scores.where("known is not null").groupBy("known").agg(F.avg("url_score").alias("mean"), F.stddev_pop("url_score").alias("sd")).collect()}
     threshold = 0.0
     if len(stats) == 2:
         (ma, sa), (mr, sr) = ((stats[k]["mean"], stats[k]["sd"] + 1e-3) for k in ("allow", "block"))
         threshold = (ma * sr + mr * sa) / (sa + sr)
-    scored = ruled.join(scores.select("_text", "url_score"), "_text", "left")
-    method = F.when(F.coalesce("url_score", F.lit(0.0)) >= threshold, "allow").otherwise("block")
-    return scored.withColumn("verdict", F.coalesce(verdict, method)).drop("_text")
+    return scores, threshold
 
 
 def digest(pages: DataFrame) -> DataFrame:
