@@ -8,7 +8,8 @@ merged by heaps. Every candidate's bound is looked at, so the neighbours are exa
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id; vectors of other lengths than the query's are no candidates; ties go to the smaller id; a query's own id is no candidate;
-repeated rows are candidates each, and a repeated query is answered once; an empty table gives no rows.
+repeated rows are candidates each, and a query id that stands on several rows is answered once, for the least of its vectors; no row with the
+query's id is its candidate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _search_task(group, k: int):
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank int, vec_id, score; both inputs as usable() gives them."""
     spark = candidates.sparkSession
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     groups = max(1, math.ceil(queries.count() / (QUERY_GROUP * 0.9)))
     found = None
     for g in range(groups):

@@ -6,7 +6,7 @@ records from 0 in key order: rows are dealt by ranges of the key, counted by (ra
 ranges are added, so no shard is sorted in one task.
 
 Defined results: a null key counts as the key "null"; null text has size 1 and the CRC-32 of nothing; repeated rows fall
-into one shard and get slots of their own; an empty table gives no rows. Extra columns are kept by assign().
+into one shard and get slots of their own; an empty table gives no rows. Extra columns are kept by assign() unless they are named as what it adds.
 """
 
 from __future__ import annotations
