@@ -68,14 +68,81 @@ def test_toxicity_without_labels_or_rows(spark, make_docs):
     assert dict(toxicity.score_documents(extra, none).dtypes)["score"] == "double"
 
 
-def test_kneser_ney_sums_to_one():
-    """Over all characters that may follow, a context's probabilities of one class add up to about 1."""
-    words = ["abab", "abba", "baba", "aabb"]
-    grams, begin = toxicity._grams(words)
-    assert len(grams) == sum(len(w) + 1 for w in words) and list(begin) == [0, 5, 10, 15]
-    n = np.array([3.0, 1.0, 0.0])
-    p = toxicity.Scorer._level(n, np.full(3, 4.0), np.full(3, 2.0), np.array([0.5, 0.3, 0.2]))
-    assert np.isclose(p.sum(), 1)
+def brute_ratios(all_words, toxic_words, ordinary_words):
+    """log P(toxic) - log P(ordinary) of each gram, by plain dictionaries of strings."""
+    grams = lambda w: [("\x02" * 4 + w + "\x03")[i : i + 5] for i in range(len(w) + 1)]
+    seen = {g for w in all_words for g in grams(w)}
+    level, types = {5: seen}, {}
+    for k in (4, 3, 2, 1):
+        level[k] = {g[1:] for g in level[k + 1]}
+        types[k] = {g: sum(h[1:] == g for h in level[k + 1]) for g in level[k]}
+
+    def smooth(n, total, distinct, lower):
+        return (max(n - 0.75, 0) + 0.75 * max(distinct, 1) * lower) / max(total, n) if total else lower
+
+    def shared(gram, k):
+        same = [g for g in level[k] if g[:-1] == gram[:-1]]
+        if k == 1:
+            return (types[1][gram] + 1) / (sum(types[1].values()) + len(level[1]) + 1)
+        return smooth(types[k][gram], sum(types[k][g] for g in same), len(same), shared(gram[1:], k - 1))
+
+    def of_class(words, gram):
+        counts = {}
+        for w in words:
+            for g in grams(w):
+                counts[g] = counts.get(g, 0) + 1
+        same = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        return smooth(counts.get(gram, 0), sum(same.values()), len(same), shared(gram[1:], 4))
+
+    shown = {g for w in toxic_words + ordinary_words for g in grams(w)}
+    return {g: np.log(of_class(toxic_words, g)) - np.log(of_class(ordinary_words, g)) for g in shown}
+
+
+def test_ratios_equal_a_plain_kneser_ney_model(spark, make_docs):
+    rng = random.Random(8)
+    toxic, ordinary, rest = (["".join(rng.choice("abc日") for _ in range(rng.randrange(1, 6))) for _ in range(12)] for _ in range(3))
+    frame = lambda words: toxicity._grams(words)[:2]
+    hi, lo, _ = toxicity._distinct(*frame(toxic + ordinary + rest))
+    corpus = spark.createDataFrame([(int(h), int(x)) for h, x in zip(hi, lo)], "hi long, lo long")
+    labelled = spark.createDataFrame([(" ".join(set(toxic)), 1), (" ".join(set(ordinary)), 0)], "text string, toxic int")
+    classes = labelled.coalesce(1).mapInArrow(toxicity._class_task, "hi long, lo long, t long, o long")
+    chars = lambda h, x: "".join(chr(v) for v in (h >> 21, h & toxicity.MASK, x >> 42, x >> 21 & toxicity.MASK, x & toxicity.MASK))
+    got = {chars(r.hi, r.lo): r.ratio for r in toxicity.log_ratios(corpus, classes).collect()}
+    want = brute_ratios(set(toxic + ordinary + rest), sorted(set(toxic)), sorted(set(ordinary)))
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-5 for g in want)
+    scorer = toxicity.Scorer(*(np.array([f(g) for g in want]) for f in (lambda g: ord(g[0]) << 21 | ord(g[1]), lambda g: ord(g[2]) << 42 | ord(g[3]) << 21 | ord(g[4]), lambda g: want[g])))
+    value, size = scorer.words([toxic[0], "", "zzz"])
+    word = "\x02" * 4 + toxic[0] + "\x03"
+    assert abs(value[0] - sum(want[word[i : i + 5]] for i in range(len(toxic[0]) + 1))) < 1e-9 and size.tolist() == [len(toxic[0]) + 1, 0, 4] and value[1] == 0
+
+
+def test_the_toxicity_sample_shrinks_to_its_bound(spark, make_docs):
+    rows, labels = toxic_corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    shared, _, _ = toxicity.fit(make_docs(rows), labels, most_grams=600)
+    assert 0 < len(shared.value[0]) <= 600
+
+
+def test_long_texts_and_clashing_columns(spark, make_docs):
+    """A text of a few megabytes, in one word or many, passes every operator; columns that an operator adds win over the frame's."""
+    long = [(1, "x" * 500_000), (2, "under the mit license token = abcdefghijklmnop " * 5_000), (3, None)]
+    added = {"shard", "grown_shard", "secrets", "n_tokens", "labels", "n_words", "contaminated", "score", "held_out"}
+    docs = make_docs(long).withColumns({c: F.lit("clash") for c in added})
+    bench = spark.createDataFrame([(1, "mit license token abcdefghijklmnop under the mit license token abcdefghijklmnop")], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (6, 0)], "doc_id long, toxic int")
+    hits = {r.doc_id: r for r in decontam.flag(docs, bench).select("doc_id", "n_words", "contaminated").collect()}
+    assert (hits[1].n_words, hits[2].n_words, hits[2].contaminated, hits[3].n_words) == (1, 30_000, True, 0)
+    found = {r.doc_id: r for r in secrets.redact(docs.drop("secrets")).select("doc_id", "text", "score").collect()}
+    assert found[2].text == "under the mit license [SECRET] " * 5_000 and found[1].text == long[0][1] and found[3].text is None and found[1].score == "clash"
+    notes = {r.doc_id: r for r in licenses.scan(docs).select("doc_id", "n_words", "labels", "n_base", "last_word").collect()}
+    assert (notes[2].labels, notes[2].n_base, notes[2].last_word, notes[1].n_words) == ("mit", 5_000, 6 * 4_999, 1)
+    counts = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs).select("doc_id", "n_tokens").collect()}
+    assert counts[1] > 0 and counts[3] == 0 and counts[2] % 5_000 == 0
+    scored = toxicity.score_documents(docs, marks).collect()
+    assert len(scored) == 3 and all(0 <= r.score <= 1 for r in scored)
+    shards = sharding.assign(docs, "doc_id", [1.0] * 8).collect()
+    assert all(r.grown_shard in (r.shard, 8) for r in shards)
+    assert sorted(r.n_shingles for r in ngram_join.join(docs).collect()) == [0, 1, 7]
 
 
 # near duplicates --------------------------------------------------------------------------------------------------------
@@ -152,6 +219,42 @@ def test_shared_counts(monkeypatch):
     assert ngram_join.shared_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
 
 
+def test_join_of_textual_ids_and_of_many_blocks(spark, make_docs, monkeypatch):
+    """Ids of another type, hot buckets in several parts, and components by stars rather than at once."""
+    rows = [(f"k{d:04}", t) for d, t in near_copies(4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    want = brute_components(rows)
+    shape = lambda got: sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got.collect())
+    assert shape(ngram_join.join(docs)) == want
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "few", lambda table: table)
+    monkeypatch.setattr(ngram_join, "components", lambda links: components.components(links, at_once=0))
+    assert shape(ngram_join.join(docs)) == want
+
+
+def test_buckets_are_streamed(monkeypatch):
+    """Whatever the batches, each row gets its bucket's least group and the one before it; lone rows of unsalted buckets go."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted({(s, -1 if s % 3 else 0, rng.randrange(40)) for s in range(60) for _ in range(rng.choice([1, 1, 2, 9]))})
+    rows = sorted(rows + rng.choices(rows, k=20))
+    names = ["shingle", "salt", "grp", "n", "pos"]
+    want, distinct = [], sorted(set(rows))
+    for k, (s, salt, g) in enumerate(distinct):
+        bucket = [r for r in distinct if r[:2] == (s, salt)]
+        if len(bucket) > 1 or salt >= 0:
+            want.append((s, salt, g, bucket[0][2], bucket[max(0, bucket.index((s, salt, g)) - 1)][2]))
+    for size in (1, 2, 7, 500):
+        batches = []
+        for a in range(0, len(rows), size):
+            part = rows[a : a + size]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part]), pa.array([7] * len(part), pa.int32()), pa.array([r[2] for r in part], pa.int32())], names=names))
+        got = [(r["shingle"], r["salt"], r["grp"], r["least"], r["before"]) for b in ngram_join._bucket_task(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_join_on_an_empty_table(make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
     assert ngram_join.link_counts(make_docs([])).count() == 0
@@ -176,8 +279,9 @@ def test_bitmaps_bound_the_difference():
 
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[101] == got[100] == 100
+    for at_once in (0, 1000):
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long"), at_once).collect()}
+        assert all(got[i] == 0 for i in range(61)) and got[101] == got[100] == 100
 
 
 # decontamination --------------------------------------------------------------------------------------------------------
@@ -250,6 +354,27 @@ def test_license_phrases_and_fuzzy_notices(make_docs):
     assert licenses.digest(make_docs([])).count() == 0
 
 
+def test_scans_equal_a_search_of_the_whole_text():
+    """Base places by hand, and for each notice whether the regex library finds it anywhere in the text."""
+    import regex
+
+    scanner, rng = licenses.Scanner(), random.Random(12)
+    for _ in range(60):
+        words = prose(rng, 30, 50).split()
+        for _ in range(rng.randrange(4)):
+            notice = list(rng.choice([*licenses.NOTICES, *licenses.PHRASES]))
+            for _ in range(rng.randrange(5)):
+                notice[rng.randrange(len(notice))] = rng.choice(["", "a", "e ", "x"])
+            words.insert(rng.randrange(len(words)), "".join(notice))
+        text = " ".join(words)
+        got = licenses.scan_text(scanner, text.encode())
+        plain = WORD.findall(fold(text))
+        base = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(plain)) if plain[i : i + len(phrase.split())] == phrase.split())
+        assert got[:4] == (len(plain), len(base), base[0][0] if base else None, base[-1][0] if base else None)
+        whole = {label for notice, label in licenses.NOTICES.items() if regex.search(f"(?:{regex.escape(notice)}){{e<={len(notice) // licenses.CHARS_PER_EDIT}}}", " ".join(plain))}
+        assert got[4] == ",".join(sorted({x for _, x in base})) and got[5] == ",".join(sorted(whole | {x for _, x in base}))
+
+
 def test_a_worse_notice_before_a_better_one():
     scanner = licenses.Scanner({"gnu general public license": "GPL"}, 9)
     found = scanner.find("gnu genral public license gnu general public license")
@@ -287,6 +412,33 @@ def test_packs_hold_every_piece():
     assert packing.shortest_pack_first({}) == []
 
 
+def test_packs_are_those_of_piece_by_piece_packing():
+    """The histogram's patterns make as many packs as placing each piece by itself, longest first, into the shortest pack."""
+    rng = random.Random(5)
+    for size in (10, 50):
+        pieces = [rng.randrange(1, size + 1) for _ in range(400)]
+        rooms = []
+        for n in sorted(pieces, reverse=True):
+            most = max(range(len(rooms)), key=lambda k: rooms[k], default=None)
+            if most is None or rooms[most] < n:
+                rooms.append(size - n)
+            else:
+                rooms[most] -= n
+        histogram = {n: pieces.count(n) for n in set(pieces)}
+        assert sum(c for c, _ in packing.shortest_pack_first(histogram, size)) == len(rooms)
+
+
+def test_another_tokenizer_is_refused(tmp_path):
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        packing.WordIds(str(tmp_path / "t.json"))
+
+
 def test_packing_round_trip(make_docs):
     rng = random.Random(3)
     rows = [(d, prose(rng, rng.randrange(1, 900))) for d in range(30)] + [(50, "word " * 9000), (51, "İstanbul ΟΔΥΣΣΕΥΣ it's 日本 <|endoftext|> é ½"), *[r for r in odd_rows() if r[0] is not None]]
@@ -395,6 +547,18 @@ def test_token_counts_equal_brute_force(make_docs):
 # sharding ---------------------------------------------------------------------------------------------------------------
 
 
+def test_shards_are_the_highest_bids(make_docs):
+    import math
+
+    def choice(key, shards):
+        bids = [(1 / -math.log((int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48), s) for s in range(shards)]
+        return max(bids)[1]
+
+    rows = [(d, "x" * (d % 5)) for d in range(300)]
+    for r in sharding.digest(make_docs(rows)).collect():
+        assert (r.shard, r.grown_shard) == (choice(r.doc_id, 8), choice(r.doc_id, 9))
+
+
 def test_sharding(spark, make_docs):
     rows = [(d, f"text {d}" * (d % 7)) for d in range(900)] + odd_rows()
     got = sharding.digest(make_docs(rows)).collect()

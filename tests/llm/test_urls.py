@@ -63,3 +63,49 @@ def test_ratio_equals_a_plain_model(spark):
     got = urlfilter._ratios(examples, examples.select("gram").distinct()).collect()
     for r in got:
         assert r.ratio == pytest.approx(math.log(pa(r.gram)) - math.log(pr(r.gram)))
+
+
+def test_verdicts_equal_plain_models(spark):
+    """Scores, threshold and verdicts of what no rule decides, from the examples of four parts of five, by hand."""
+    import math
+    import statistics
+
+    import xxhash
+
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice(['good', 'fine'])}{rng.randrange(30)}.com/{rng.randrange(50)}" for _ in range(60)] + [f"http://spam{rng.randrange(30)}.net/es/{rng.randrange(50)}" for _ in range(60)]
+    urls += [f"http://{rng.choice(['good', 'spam'])}{rng.randrange(99)}.org/{rng.choice(['es/', ''])}{rng.randrange(99)}" for _ in range(30)]
+    texts = {}
+    for u in urls:
+        host, path, (_, known) = brute(u)
+        texts[host + path] = known
+    part = {t: (xxhash.xxh64(t.encode(), 42).intdigest() + (1 << 63) & (1 << 64) - 1) - (1 << 63) for t in texts}
+    part = {t: v % 5 for t, v in part.items()}
+    grams = lambda t: [(urlfilter.START * 4 + t + urlfilter.END)[i : i + 5] for i in range(len(t) + 1)]
+    seen = {v: [g for t, k in texts.items() if k == v and part[t] for g in grams(t)] for v in ("allow", "block")}
+
+    def p(gram, of):
+        value = urlfilter.UNIFORM
+        for k in range(1, 6):
+            follow = [g[5 - k :] for g in of if g[5 - k : 4] == gram[5 - k : 4]]
+            if follow:
+                value = (follow.count(gram[5 - k :]) + len(set(follow)) * value) / (len(follow) + len(set(follow)))
+        return value
+
+    score = {t: statistics.mean(math.log(p(g, seen["allow"]) / p(g, seen["block"])) for g in grams(t)) for t, k in texts.items() if k is None or not part[t]}
+    held = {v: [score[t] for t, k in texts.items() if k == v and not part[t]] for v in seen}
+    (ma, sa), (mr, sr) = ((statistics.mean(held[v]), statistics.pstdev(held[v]) + 1e-3) for v in ("allow", "block"))
+    threshold = (ma * sr + mr * sa) / (sa + sr)
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for r in got:
+        known = texts[r.host + r.path]
+        assert r.verdict == (known or ("allow" if score[r.host + r.path] >= threshold else "block"))
+        if known is None:
+            assert r.url_score == pytest.approx(score[r.host + r.path])
+
+
+def test_salted_ratios_and_long_urls(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 100_000), (2, "http://b.net/es/1"), (3, "http://c.org/"), (3, "http://c.org/")], "page_id long, url string").withColumn("verdict", pytest.importorskip("pyspark.sql.functions").lit("clash"))
+    want = sorted((r.page_id, r.verdict) for r in urlfilter.judge(pages).collect())
+    monkeypatch.setattr(urlfilter, "FEW_ROWS", 0)
+    assert sorted((r.page_id, r.verdict) for r in urlfilter.judge(pages).collect()) == want and len(want) == 4
