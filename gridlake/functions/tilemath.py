@@ -42,6 +42,19 @@ def valid_tile(z: Column, x: Column, y: Column) -> Column:
     return (z >= 0) & (z <= 30) & (x >= 0) & (y >= 0) & (x < side) & (y < side)
 
 
+def address_problem(z: Column, x: Column, y: Column) -> Column:
+    """What is wrong with a tile's address, null if nothing is; numbers that only fit the order x, y, z are told so."""
+    address = F.concat_ws("/", z, x, y)
+    swapped = valid_tile(y, z, x)
+    return F.when(~valid_tile(z, x, y), F.when(swapped, F.concat(F.lit("there is no tile "), address, F.lit("; addresses are z/x/y, not x/y/z"))).otherwise(F.concat(F.lit("there is no tile "), address)))
+
+
+def tile_pixel(lon: Column, lat: Column, z: Column, x: Column, y: Column, size: int) -> tuple[Column, Column]:
+    """Place (col, row) of a point in the pixels of a tile."""
+    n = F.pow(F.lit(2.0), z)
+    return ((lon + 180) / 360 * n - x) * size, ((1 - F.asinh(F.tan(F.radians(lat))) / PI) / 2 * n - y) * size
+
+
 def tile_size(size: Column) -> Column:
     return F.greatest(F.lit(64), F.least(F.lit(512), size))
 
@@ -96,11 +109,18 @@ def level_geotransform(gt, width0: int, width: int) -> tuple[float, ...]:
 
 def pixel_window(gt, west: Column, south: Column, east: Column, north: Column, width: int, height: int) -> dict[str, Column]:
     """Columns and rows [c0, c1) x [r0, r1) that a native bbox covers, clamped to the raster; nulls where it misses."""
-    places = [affine_inverse(gt, x, y) for x in (west, east) for y in (south, north)]
+    return corner_window(gt, [(x, y) for x in (west, east) for y in (south, north)], width, height)
+
+
+def corner_window(gt, corners: list[tuple[Column, Column]], width: int, height: int, grown: int = 0) -> dict[str, Column]:
+    """The same of a box whose native corners are given, `grown` cells wider on each side; corners that have no place don't count."""
+    places = [affine_inverse(gt, x, y) for x, y in corners]
+    real = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    places = [(real(a), real(b)) for a, b in places]
     cols, rows = [p[0] for p in places], [p[1] for p in places]
     clamp = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top), v.cast("int")))
-    c0, c1 = clamp(F.floor(F.least(*cols)), width), clamp(F.ceil(F.greatest(*cols)), width)
-    r0, r1 = clamp(F.floor(F.least(*rows)), height), clamp(F.ceil(F.greatest(*rows)), height)
+    c0, c1 = clamp(F.floor(F.least(*cols)) - grown, width), clamp(F.ceil(F.greatest(*cols)) + grown, width)
+    r0, r1 = clamp(F.floor(F.least(*rows)) - grown, height), clamp(F.ceil(F.greatest(*rows)) + grown, height)
     some = (c1 > c0) & (r1 > r0)
     return {"c0": F.when(some, c0), "c1": F.when(some, c1), "r0": F.when(some, r0), "r1": F.when(some, r1)}
 

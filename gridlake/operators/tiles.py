@@ -1,4 +1,4 @@
-"""From tiles to images: pixels are styled as rows and put together per tile in Arrow batches."""
+"""From tiles to images, in long form: pixels are styled as rows and put together per tile in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,21 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions import geometry, png
-from gridlake.operators import resample, style
+from gridlake.functions import png
+from gridlake.operators import coverage, mosaic, resample, style
 from gridlake.raster import Raster
 
 
-def clip(pixels: DataFrame, zones: DataFrame | None) -> DataFrame:
-    """pixels without values outside the zones (zone_id, polygons in the raster's cell units, with their bounds).
-
-    Bounds are compared first; only pixels in them meet the even-odd test. Zones of one request are few and are joined by tile."""
+def clip(pixels: DataFrame, tiles: DataFrame, zones: DataFrame | None, size: int) -> DataFrame:
+    """pixels without those whose centre lies outside the zones (zone_id, polygons in degrees), by an equi-join with the zones' filled pixels."""
     if zones is None:
         return pixels
-    box = geometry.bounds(F.col("polygons"))
-    known = zones.select("polygons", *(c.alias(f"_{k}") for k, c in box.items()))
-    near = (F.col("fcol") >= F.col("_west")) & (F.col("fcol") <= F.col("_east")) & (F.col("frow") >= F.col("_south")) & (F.col("frow") <= F.col("_north"))
-    return pixels.join(known, near & geometry.contains(F.col("polygons"), F.col("fcol"), F.col("frow")), "left_semi")
+    inside = coverage.cells_of(mosaic.tile_masks(tiles, zones, size)).select("z", "x", "y", F.col("row").alias("py"), F.col("col").alias("px")).distinct()
+    return pixels.join(inside, ["z", "x", "y", "px", "py"], "left_semi")
 
 
 def rgba(values: DataFrame, wanted: style.Style) -> DataFrame:
@@ -46,8 +42,8 @@ def assemble(coloured: DataFrame, size: int, as_png: bool = True) -> DataFrame:
 
 
 def render(tiles: DataFrame, raster: Raster, wanted: style.Style, size: int = 256, interpolation: str = "nearest", zones: DataFrame | None = None, as_png: bool = True) -> DataFrame:
-    """(z, x, y, image) of tiles (z, x, y)."""
-    places = clip(resample.pixel_places(resample.tile_pixels(tiles, size), raster, size), zones)
+    """(z, x, y, image) of tiles (z, x, y), pixel by pixel: what operators.mosaic must equal. zones: polygons in degrees."""
+    places = clip(resample.pixel_places(resample.tile_pixels(tiles, size), raster, size), tiles, zones, size)
     if wanted.mode == "rgb":
         by_band = raster.cells.groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == min(k, raster.bands - 1), F.col("value"))).alias(f"v{k}") for k in range(3)))
         placed = places.withColumn("row", F.floor("frow").cast("int")).withColumn("col", F.floor("fcol").cast("int")).join(by_band, ["row", "col"])

@@ -82,6 +82,24 @@ def classes(joined: DataFrame, area: Column | None = None, most: int | None = 10
 
 
 def status(zones: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each zone, with what a request for it would have been told."""
-    out = zones.select("zone_id").join(found, "zone_id", "left")
-    return out.withColumn("status", F.when(F.col("count").isNull(), "outside").when(F.col("count") <= 0, "nodata").otherwise("ok"))
+    """A row for each zone, with what a request for it would have been told: outside the raster, empty (no cell covered), nodata, or ok.
+
+    zones may say whether a zone's bounds meet the raster (_meets) and whether it was refused as too large (_refused)."""
+    known = set(zones.columns)
+    out = zones.select("zone_id", *sorted(known & {"_meets", "_refused"})).join(found, "zone_id", "left")
+    none = F.when(F.col("_meets"), "empty").otherwise("outside") if "_meets" in known else F.lit("outside")
+    state = F.when(F.col("count").isNull(), none).when(F.col("count") <= 0, "nodata").otherwise("ok")
+    if "_refused" in known:
+        state = F.when(F.col("_refused"), "too large").otherwise(state)
+    return out.withColumn("status", state).drop("_meets", "_refused")
+
+
+def answer_json(classes: bool = False, method: str = "spherical") -> Column:
+    """A zone's statistics as the tagged JSON of an answer; classes (value, count, frac, area) only where they were asked for."""
+    area = F.struct(F.col("area_total").alias("total"), F.col("area_data").alias("data"), F.col("area_nodata").alias("nodata"), F.lit(method).alias("method"))
+    fields = [F.lit("polygon").alias("kind"), *(F.col(c) for c in ("min", "max", "avg", "stdev", "count", "sum", "nodata_count")), area.alias("area")]
+    return F.to_json(F.struct(*fields, *([F.col("classes")] if classes else [])), {"ignoreNullFields": "false"})
+
+
+def point_json(value: Column) -> Column:
+    return F.to_json(F.struct(F.lit("point").alias("kind"), value.alias("value")), {"ignoreNullFields": "false"})

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlake.engine import Engine
 from gridlake.functions import twkb
-from gridlake.operators import resample, style, tiles
+from gridlake.operators import resample, style
 from gridlake.plans.registry import query
 from gridlake.plans.table_queries import _zone_polygons
 from gridlake.raster import orders_raster
@@ -23,13 +24,13 @@ def _tiles(raster):
 @query()
 def png_tiles(spark, sf):
     raster = orders_raster(spark, sf)
-    return tiles.render(_tiles(raster), raster, style.Style(min=1000.0, max=500000.0), 64)
+    return Engine(spark).render(_tiles(raster), raster, style.Style(min=1000.0, max=500000.0), 64)
 
 
 @query()
 def png_hillshade(spark, sf):
     raster = orders_raster(spark, sf)
-    return tiles.render(_tiles(raster), raster, style.Style(mode="hillshade"), 64, "bilinear")
+    return Engine(spark).render(_tiles(raster), raster, style.Style(mode="hillshade"), 64, "bilinear")
 
 
 @query("SELECT zone_id, 1 AS polygons, x0 AS west, y1 AS north FROM z_nat")

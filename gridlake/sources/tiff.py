@@ -2,11 +2,14 @@
 
 Rows are blocks: one per block and band with its cells packed as floats, so Spark moves few, large records and explodes
 them late (cells()). Filters on level, band, bx and by are taken over by the reader, which then neither reads nor decodes
-other blocks; blocks near each other in the file are fetched together. Missing values are null from here on."""
+other blocks; blocks near each other in the file are fetched together. The option `blocks` ("bx:by,bx:by") names blocks one by one. Headers are
+read once, when the partitions are planned, and travel with them. Files are local, or http(s) URLs that answer range requests; read_whole()
+takes files from any store that Spark reads. Missing values are null from here on."""
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 import re
 import struct
@@ -18,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from gridlake.sources import codecs
+from gridlake.sources import codecs, ranges
 
 HEAD = 256 * 1024
 FOLLOW, MOST_FOLLOWS = 128 * 1024, 8
 GAP = 32 * 1024
 BLOCKS_PER_PARTITION = 64
+PLACES = (273, 279, 324, 325)  # tags of where blocks lie
 #: TIFF field types and their sizes.
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -34,6 +38,7 @@ LEVELS = (
     "block_w int, block_h int, photometric int, epsg int, gt array<double>, nodata float, stats_min double, stats_max double, big_endian boolean"
 )
 BLOCKS = "source_id string, level int, band int, bx int, by int, row0 int, col0 int, width int, height int, values array<float>"
+BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 
 
 @dataclass
@@ -174,7 +179,11 @@ def read_levels(f) -> list[Level]:
 
 
 def resolve_paths(path: str, root: str | None) -> list[str]:
-    """Files of a path, pattern or file:// URL; with a root, what lies outside is refused."""
+    """Files of a path, pattern or file:// URL; with a root, what lies outside is refused. A web address stands for itself."""
+    if path.startswith(("http://", "https://")):
+        if root is not None:
+            raise ValueError("a file lies outside the root")
+        return [path]
     if re.match(r"^[a-z][a-z0-9+.-]*://", path) and not path.startswith("file://"):
         raise ValueError(f"the scheme of {path} is not read")
     path = path.removeprefix("file://")
@@ -203,14 +212,48 @@ def merged(ranges: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tupl
 
 @dataclass
 class BlockRange(InputPartition):
+    """Blocks of one level, with all of the header that reading them takes."""
+
     path: str
-    level: int
-    blocks: tuple[int, ...]
+    number: int
+    level: Level
+    nodata: float | None
     bands: tuple[int, ...]
+    asked: tuple[tuple[int, int, int], ...]  # offset, length, index of each block's bytes
 
-    def __init__(self, path, level, blocks, bands):
+    def __init__(self, path, number, level, nodata, bands, asked):
         super().__init__(None)
-        self.path, self.level, self.blocks, self.bands = path, level, blocks, bands
+        self.path, self.number, self.level, self.nodata, self.bands, self.asked = path, number, level, nodata, bands, asked
+
+
+def planned(path: str, levels: list[Level], wanted, pairs: set | None = None) -> list[BlockRange]:
+    """Partitions of a file's blocks for which wanted(name, value) holds; with pairs, of those (bx, by) only."""
+    out = []
+    for k, level in enumerate(levels):
+        if not wanted("level", k):
+            continue
+        across, down = level.blocks_across
+        bands = tuple(b for b in range(level.samples) if wanted("band", b))
+        places = sorted(by * across + bx for bx, by in pairs if 0 <= bx < across and 0 <= by < down) if pairs is not None else range(across * down)
+        kept = [i for i in places if wanted("bx", i % across) and wanted("by", i // across)]
+        ranges_, planes = level.ranges, bands if level.planar == 2 else (0,)
+        nodata = level.nodata if level.nodata is not None else levels[0].nodata
+        light = Level({t: v for t, v in level.tags.items() if t not in PLACES}, level.big_endian)
+        light.tags |= {t: () for t in PLACES if t in level.tags}
+        for a in range(0, len(kept) if bands else 0, BLOCKS_PER_PARTITION):
+            asked = [(*ranges_[p * across * down + i], p * across * down + i) for i in kept[a : a + BLOCKS_PER_PARTITION] for p in planes]
+            out.append(BlockRange(path, k, light, nodata, bands, tuple(r for r in asked if r[1])))
+    return out
+
+
+def level_rows(path: str, levels: list[Level]):
+    """A LEVELS row for each level."""
+    base = levels[0]
+    for k, v in enumerate(levels):
+        gt = v.gt or (base.gt and [g * (base.width / v.width) if i in (1, 2, 4, 5) else g for i, g in enumerate(base.gt)])
+        w, h = v.block
+        nodata = v.nodata if v.nodata is not None else base.nodata
+        yield (path, k, v.width, v.height, v.samples, v.bits, v.sample_format, f"{DTYPES.get(v.sample_format, 'unknown')}{v.bits}", v.compression, v.predictor, v.tiled, w, h, v.one(262), v.epsg or base.epsg, gt, nodata, v.stat("MINIMUM"), v.stat("MAXIMUM"), v.big_endian)
 
 
 class TiffReader(DataSourceReader):
@@ -219,6 +262,8 @@ class TiffReader(DataSourceReader):
         self.paths = resolve_paths(options["path"], options.get("root"))
         self.limits: dict[str, list[float]] = {}
         self.chosen: dict[str, set[int]] = {}
+        named = options.get("blocks")
+        self.pairs = None if named is None else {tuple(map(int, b.split(":"))) for b in named.split(",") if b}
 
     def pushFilters(self, filters):  # noqa: N802
         """Bounds on level, band, bx and by are kept here; what else there is Spark filters."""
@@ -245,70 +290,56 @@ class TiffReader(DataSourceReader):
 
     def partitions(self):
         if self.table == "levels":
-            return [BlockRange(p, 0, (), ()) for p in self.paths]
+            return [BlockRange(p, 0, Level(), None, (), ()) for p in self.paths]
         out = []
         for path in self.paths:
-            with open(path, "rb") as f:
-                levels = read_levels(f)
-            for k, level in enumerate(levels):
-                if not self._wanted("level", k):
-                    continue
-                across, down = level.blocks_across
-                bands = tuple(b for b in range(level.samples) if self._wanted("band", b))
-                kept = [i for i in range(across * down) if self._wanted("bx", i % across) and self._wanted("by", i // across)]
-                for a in range(0, len(kept) if bands else 0, BLOCKS_PER_PARTITION):
-                    out.append(BlockRange(path, k, tuple(kept[a : a + BLOCKS_PER_PARTITION]), bands))
-        return out or [BlockRange("", 0, (), ())]
+            with ranges.open_source(path) as f:
+                out += planned(path, read_levels(f), self._wanted, self.pairs)
+        return out or [BlockRange("", 0, Level(), None, (), ())]
 
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            levels = read_levels(f)
+        with ranges.open_source(partition.path) as f:
             if self.table == "levels":
-                base = levels[0]
-                for k, v in enumerate(levels):
-                    gt = v.gt or (base.gt and [g * (base.width / v.width) if i in (1, 2, 4, 5) else g for i, g in enumerate(base.gt)])
-                    w, h = v.block
-                    yield (partition.path, k, v.width, v.height, v.samples, v.bits, v.sample_format, f"{DTYPES.get(v.sample_format, 'unknown')}{v.bits}", v.compression, v.predictor, v.tiled, w, h, v.one(262), v.epsg or base.epsg, gt, v.nodata, v.stat("MINIMUM"), v.stat("MAXIMUM"), v.big_endian)
-                return
-            level = levels[partition.level]
-            nodata = level.nodata if level.nodata is not None else levels[0].nodata
-            yield from self._blocks(f, partition, level, nodata)
-
-    def _blocks(self, f, partition, level: Level, nodata):
-        w, h = level.block
-        across, down = level.blocks_across
-        planes = level.samples if level.planar == 2 else 1
-        per_cell = 1 if level.planar == 2 else level.samples
-        ranges = level.ranges
-        asked = [(*ranges[p * across * down + i], p * across * down + i) for i in partition.blocks for p in (partition.bands if planes > 1 else (0,)) if ranges[p * across * down + i][1]]
-        for group in merged(asked):
-            f.seek(group[0][0])
-            data = f.read(max(o + n for o, n, _ in group) - group[0][0])
-            rows = []
-            for offset, n, index in group:
-                plane, i = divmod(index, across * down)
-                bx, by = i % across, i // across
-                high = min(h, level.height - by * h)
-                tall = h if level.tiled else high
-                raw = codecs.decompress(data[offset - group[0][0] : offset - group[0][0] + n], level.compression, w * tall * per_cell * level.bits // 8)
-                raw = codecs.undo_predictor(raw, level.predictor, w, per_cell, level.bits, level.big_endian)
-                values = codecs.to_floats(raw, level.bits, level.sample_format, level.big_endian)
-                cells = np.full(w * tall * per_cell, np.nan, np.float32)
-                cells[: len(values)] = values[: len(cells)]
-                cells = cells.reshape(tall, w, per_cell)[:high, : min(w, level.width - bx * w)]
-                for band in (plane,) if planes > 1 else partition.bands:
-                    flat = cells[:, :, 0 if planes > 1 else band].ravel()
-                    missing = np.isnan(flat) if nodata is None else np.isnan(flat) | (flat == np.float32(nodata))
-                    rows.append((partition.path, partition.level, band, bx, by, by * h, bx * w, cells.shape[1], cells.shape[0], pa.array(flat, mask=missing)))
-            if rows:
-                columns = list(zip(*rows))
-                types = [pa.string(), *[pa.int32()] * 8]
-                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-                lengths = np.cumsum([0, *(len(v) for v in columns[9])]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(lengths), pa.concat_arrays(columns[9])))
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.strip().split()[0] for x in BLOCKS.split(", ")])
+                yield from level_rows(partition.path, read_levels(f))
+            else:
+                yield from read_range(f, partition)
+
+
+def read_range(f, part: BlockRange):
+    """Record batches of a partition's blocks, one for each run of bytes read."""
+    level = part.level
+    w, h = level.block
+    across, down = level.blocks_across
+    planes = level.samples if level.planar == 2 else 1
+    per_cell = 1 if level.planar == 2 else level.samples
+    for group in merged(list(part.asked)):
+        f.seek(group[0][0])
+        data = f.read(max(o + n for o, n, _ in group) - group[0][0])
+        rows = []
+        for offset, n, index in group:
+            plane, i = divmod(index, across * down)
+            bx, by = i % across, i // across
+            high = min(h, level.height - by * h)
+            tall = h if level.tiled else high
+            raw = codecs.decompress(data[offset - group[0][0] : offset - group[0][0] + n], level.compression, w * tall * per_cell * level.bits // 8)
+            raw = codecs.undo_predictor(raw, level.predictor, w, per_cell, level.bits, level.big_endian)
+            values = codecs.to_floats(raw, level.bits, level.sample_format, level.big_endian)
+            cells = np.full(w * tall * per_cell, np.nan, np.float32)
+            cells[: len(values)] = values[: len(cells)]
+            cells = cells.reshape(tall, w, per_cell)[:high, : min(w, level.width - bx * w)]
+            for band in (plane,) if planes > 1 else part.bands:
+                flat = cells[:, :, 0 if planes > 1 else band].ravel()
+                missing = np.isnan(flat) if part.nodata is None else np.isnan(flat) | (flat == np.float32(part.nodata))
+                rows.append((part.path, part.number, band, bx, by, by * h, bx * w, cells.shape[1], cells.shape[0], pa.array(flat, mask=missing)))
+        if rows:
+            columns = list(zip(*rows))
+            types = [pa.string(), *[pa.int32()] * 8]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            lengths = np.cumsum([0, *(len(v) for v in columns[9])]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(lengths), pa.concat_arrays(columns[9])))
+            yield pa.RecordBatch.from_arrays(arrays, names=BLOCK_NAMES)
 
 
 class TiffSource(DataSource):
@@ -338,6 +369,20 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
     return read_blocks(spark, path, table="levels")
 
 
+def read_whole(spark: SparkSession, path: str, level: int | None = None, band: int | None = None) -> DataFrame:
+    """Blocks of small files in any store that Spark reads (a path or pattern): each file comes as a whole and is taken apart where it arrives."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                f = io.BytesIO(content)
+                asked = {"level": level, "band": band}
+                for part in planned(name, read_levels(f), lambda k, v: asked.get(k) in (None, v)):  # noqa: B023
+                    yield from read_range(f, part)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+
+
 def cells(blocks: DataFrame) -> DataFrame:
     """(source_id, level, band, row, col, value) of blocks."""
     out = blocks.select("source_id", "level", "band", "row0", "col0", "width", F.posexplode("values").alias("_k", "value"))

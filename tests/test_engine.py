@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlake.engine import Engine, Geometries
 from gridlake.functions import crs, geometry, png, ramps, text, tilemath
-from gridlake.operators import geostore, perf, style, zonal
+from gridlake.operators import geostore, perf, style, tiles, zonal
 from gridlake.sources import tiff
 from gridlake.streaming import store
 
@@ -18,59 +19,111 @@ def box(w, s, e, n):
 ZONES = f"zone_id int, polygons {geometry.POLYGONS}"
 
 
+WEST, NORTH, STEP = 24.3, -3.1, 0.02
+
+
 @pytest.fixture(scope="module")
-def shape(spark, tmp_path_factory):
-    """A letter L of 25 x 25 cells, values 1 to 10 downwards, the rest missing."""
-    image = np.zeros((25, 25), "f4")
-    for row in range(25):
-        for col in range(25):
-            if col < 8 or row >= 17:
-                image[row, col] = 1 + 9 * row / 24
-    path = str(tmp_path_factory.mktemp("tif") / "l.tif")
-    tiff.write_tiff(path, image, gt=(10.0, 0.009, 0, 0.225, 0, -0.009), nodata="0")
-    return image, Engine(spark).raster(path)
-
-
-def test_points(spark, shape):
-    points = spark.createDataFrame([(1, 10.0135, 0.22), (2, 10.2, 0.2), (3, 50.0, 0.0)], "id int, lon double, lat double")
-    got = {r.id: (r.value, r.status) for r in Engine(spark).sample(points, shape[1]).collect()}
-    assert got == {1: (1.0, "ok"), 2: (None, "nodata"), 3: (None, "outside")}
-
-
-def test_zonal_over_the_whole_extent(spark, shape):
-    image, raster = shape
-    zones = spark.createDataFrame([(1, box(9.9, -0.1, 10.3, 0.3)), (2, box(40, 40, 41, 41))], ZONES)
-    rows = {r.zone_id: r for r in Engine(spark).zonal(zones, raster, 25, 25).collect()}
-    r, data = rows[1], image[image > 0].astype(float)
-    assert (r.min, r.max, r["count"], r.nodata_count) == (1, 10, len(data), 625 - len(data)) and np.isclose(r.avg, data.mean()) and np.isclose(r.stdev, data.std())
-    assert np.isclose(r.area_data + r.area_nodata, r.area_total) and r.status == "ok" and rows[2].status == "outside"
-    classes = Engine(spark).zonal(zones, raster, 25, 25, classes=True).collect()
-    assert len(classes) == 25 and np.isclose(sum(c.frac for c in classes), 1) and all(c.value != 0 for c in classes)
-
-
-def test_render(spark, shape):
-    engine = Engine(spark)
-    tiles = spark.createDataFrame([(9, 270, 255), (9, 0, 0), (2, 9, 9)], "z int, x int, y int")
-    out = {(r.z, r.x): png.decode(bytes(r.image)) for r in engine.render(tiles, shape[1], {"min": "1", "max": "10"}, 64).collect()}
-    assert set(out) == {(9, 270), (9, 0)} and not out[9, 0].any()
-    alpha = out[9, 270][:, :, 3]
-    assert set(np.unique(alpha)) == {0, 255} and 0 < (alpha == 255).sum() < 64 * 64
-    clipped = engine.render(tiles.limit(1), shape[1], {"mode": "contour", "min": 1, "max": 10}, 64, zones=spark.createDataFrame([(1, box(10.0, 0.0, 10.01, 0.225))], ZONES))
-    assert 0 < (png.decode(bytes(clipped.first().image))[:, :, 3] == 255).sum() < (alpha == 255).sum()
-    raw = engine.render(tiles.limit(1), shape[1], {"mode": "hillshade"}, 64, "bilinear", as_png=False).first().image
-    assert len(raw) == 64 * 64 * 4
-    for mode, extra in (("rgb", {}), ("classified", {"stops": '[[2, "#ff0000"], [5, [0, 255, 0]]]'})):
-        assert engine.render(tiles.limit(1), shape[1], {"mode": mode, **extra}, 64).count() == 1
-
-
-def test_tile_info_and_levels(spark, shape):
-    gt = (10.0, 2 / 4096, 0, 2.0, 0, -2 / 4096)
-    tiles = spark.createDataFrame([(6, 33, 31), (8, 136, 127), (10, 540, 509), (13, 4324, 4076), (0, 0, 0)], "z int, x int, y int")
-    raster = type(shape[1])(shape[1].cells, gt, 4326)
-    got = {r.z: r for r in Engine(spark).tile_info(tiles, raster, 4096, 4096, 5).collect()}
-    assert {z: r.level for z, r in got.items()} == {6: 4, 8: 3, 10: 1, 13: 0, 0: 4} and got[0].has_data
-    factors = spark.createDataFrame([(f,) for f in (0.5, 1.99, 2.0, 7.9, 1e9)], "f double").select(tilemath.overview_level(F.col("f"), 5).alias("l"))
-    assert [r.l for r in factors.collect()] == [0, 0, 1, 2, 4]
+def wedge(spark, tmp_path_factory):
+    """40 x 60 cells, missing above the diagonal, whole numbers below; blocks of 16 and two coarser levels."""
+    rows, cols = np.mgrid[0:40, 0:60]
+    image = np.where(cols <= 2 * rows, 3 + (rows + cols) % 11, -1).astype("f4")
+    path = str(tmp_path_factory.mktemp("tif") / "wedge.tif")
+    tiff.write_tiff(path, image, 16, gt=(WEST, STEP, 0, NORTH, 0, -STEP), epsg=4326, nodata="-1", overviews=[image[::2, ::2], image[::4, ::4]])
+    return image, Engine(spark).raster(path), Engine(spark).scene(path)
+
+
+def tile_at(lon, lat, z):
+    n = 2**z
+    return z, int((lon + 180) / 360 * n), int((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n)
+
+
+def tiles_at(spark, places, z):
+    return spark.createDataFrame(sorted({tile_at(lon, lat, z) for lon, lat in places}), "z int, x int, y int")
+
+
+def test_points(spark, wedge):
+    image, raster, scene = wedge
+    points = spark.createDataFrame([(1, WEST + 0.5 * STEP, NORTH - 0.5 * STEP), (2, WEST + 59.5 * STEP, NORTH - 39.5 * STEP), (3, WEST + 20.5 * STEP, NORTH - 2.5 * STEP), (4, 0.0, 0.0)], "id int, lon double, lat double")
+    for source in (raster, scene):
+        got = {r.id: (r.value, r.status) for r in Engine(spark).sample(points, source).collect()}
+        assert got == {1: (3.0, "ok"), 2: (float(image[39, 59]), "ok"), 3: (None, "nodata"), 4: (None, "outside")}
+
+
+def test_zonal_over_the_whole_extent(spark, wedge):
+    image, raster, scene = wedge
+    zones = spark.createDataFrame([(1, box(20, -8, 30, 0)), (2, box(40, 40, 41, 41)), (3, box(WEST + 40 * STEP, NORTH - STEP, WEST + 50 * STEP, NORTH))], ZONES)
+    data = image[image > 0].astype(float)
+    for found in (Engine(spark).zonal(zones, raster, 60, 40), Engine(spark).zonal(zones, scene)):
+        rows = {r.zone_id: r for r in found.withColumn("json", zonal.answer_json()).collect()}
+        r = rows[1]
+        assert (r.min, r.max, r["count"], r.nodata_count) == (3, 13, len(data), image.size - len(data)) and np.isclose(r.avg, data.mean()) and np.isclose(r.stdev, data.std())
+        assert np.isclose(r.area_data + r.area_nodata, r.area_total) and [rows[k].status for k in (1, 2, 3)] == ["ok", "outside", "nodata"]
+        answer = json.loads(r.json)
+        assert answer["kind"] == "polygon" and answer["count"] == len(data) and answer["area"]["method"] == "spherical" and "classes" not in answer
+        assert json.loads(rows[3].json)["min"] is None
+    classes = Engine(spark).zonal(zones.where("zone_id = 1"), scene, classes=True).collect()
+    assert len(classes) == 11 and np.isclose(sum(c.frac for c in classes), 1)
+    tight = Engine(spark).zonal(zones, scene, budget=1000).collect()
+    assert {r.zone_id: r.status for r in tight} == {1: "too large", 2: "outside", 3: "nodata"}
+
+
+def test_only_the_blocks_of_a_window_are_read(spark, wedge, monkeypatch):
+    _, _, scene = wedge
+    zones = spark.createDataFrame([(1, box(WEST + 17 * STEP, NORTH - 20 * STEP, WEST + 30 * STEP, NORTH - 17 * STEP))], ZONES)
+    asked = []
+    plain = type(scene).blocks
+    monkeypatch.setattr(type(scene), "blocks", lambda self, *a, **k: asked.append(plain(self, *a, **k)) or asked[-1])
+    assert Engine(spark).zonal(zones, scene).first()["count"] > 0
+    assert [(r.level, r.bx, r.by) for r in asked[0].collect()] == [(0, 1, 1)]
+    tile = tiles_at(spark, [(WEST + 0.6, NORTH - 0.4)], 7)
+    assert Engine(spark).render(tile, scene, {"max": 14}, 64).count() == 1
+    assert {r.level for r in asked[1].collect()} == {1} and "NestedLoop" not in Engine(spark).render(tile, scene, {"max": 14}, 64, zones=zones)._jdf.queryExecution().toString()
+
+
+STYLES = [({"min": "3", "max": "13"}, "nearest"), ({"mode": "contour", "min": 0, "max": 14, "contour_level": 5, "colormap": "spectral"}, "bilinear"), ({"mode": "hillshade", "z_factor": "0.0001"}, "bilinear"), ({"mode": "hillshade", "z_factor": "0.0001", "hillshade_colormap": "turbo", "min": 3, "max": 13}, "bilinear"), ({"mode": "rgb", "rgb_max_r": 13}, "nearest"), ({"mode": "classified", "stops": '[[4, "#ff0000"], [9, [0, 255, 0]]]'}, "nearest")]
+
+
+@pytest.mark.parametrize("params,how", STYLES)
+def test_vectorised_tiles_equal_the_long_form(spark, wedge, params, how):
+    _, raster, _ = wedge
+    places = tiles_at(spark, [(WEST + 0.3, NORTH - 0.5), (WEST + 1.0, NORTH - 0.7), (0.0, 0.0)], 9)
+    wanted = style.Style.from_params(params)
+    zones = spark.createDataFrame([(1, box(WEST + 0.1, NORTH - 0.75, WEST + 1.01, NORTH - 0.33)), (2, box(WEST + 0.9, NORTH - 0.8, WEST + 1.3, NORTH - 0.6))], ZONES)
+    for clipped in (None, zones) if params.get("mode", "colormap") != "hillshade" else (None,):
+        fast = {(r.x, r.y): png.decode(bytes(r.image)) for r in Engine(spark).render(places, raster, wanted, 64, how, clipped).collect()}
+        slow = {(r.x, r.y): png.decode(bytes(r.image)) for r in tiles.render(places, raster, wanted, 64, how, clipped).collect()}
+        assert len(fast) == 3 and any(v.any() for v in fast.values())
+        for key, pixels in slow.items():
+            assert np.array_equal(fast[key], pixels)
+        assert not any(fast[key].any() for key in fast.keys() - slow.keys())
+
+
+def test_scenes_and_rasters_give_the_same_tiles(spark, wedge):
+    _, raster, scene = wedge
+    places = tiles_at(spark, [(WEST + 0.3, NORTH - 0.5), (WEST + 1.0, NORTH - 0.7)], 10)
+    a, b = ({(r.x, r.y): bytes(r.image) for r in Engine(spark).render(places, source, {"max": 14}, 64, as_png=False).collect()} for source in (raster, scene))
+    assert a == b and all(len(v) == 64 * 64 * 4 for v in a.values())
+
+
+def test_tile_info_and_levels(spark, wedge):
+    _, _, scene = wedge
+    rows = [tile_at(WEST + 0.5, NORTH - 0.5, z) for z in (0, 6, 8, 12)] + [(9, 0, 0), (300, 5, 9)]
+    got = {(r.z, r.x): r for r in Engine(spark).tile_info(spark.createDataFrame(rows, "z int, x int, y int"), scene, size=64).collect()}
+    for z, x, y in rows[:4]:
+        factor = 360 / 2**z / 64 / STEP
+        assert got[z, x].level == (0 if factor < 1 else min(2, int(math.log2(factor)))) and got[z, x].has_data and got[z, x].problem is None
+    assert not got[9, 0].has_data and "z/x/y" in got[300, 5].problem
+    info = Engine(spark).info(scene.path).orderBy("level").first()
+    assert np.allclose([info.extent.west, info.extent.south, info.extent.east, info.extent.north], [WEST, NORTH - 40 * STEP, WEST + 60 * STEP, NORTH]) and np.isclose(info.center.lat, NORTH - 20 * STEP)
+    factors = spark.createDataFrame([(f,) for f in (0.25, 1.5, 3.0, 16.5, 1e6)], "f double").select(tilemath.overview_level(F.col("f"), 4).alias("l"))
+    assert [r.l for r in factors.collect()] == [0, 0, 1, 3, 3]
+
+
+def test_projections_are_undone(spark):
+    lon, lat = np.array([24.2, 27.9, 26.0]), np.array([-33.0, -3.5, -0.01])
+    for code in (32735, 3857, 4326, 32635):
+        back = crs.unproject(*crs.project(lon, lat, code, crs.Arrays), code, crs.Arrays)
+        assert np.allclose(back, (lon, lat), atol=1e-8)
 
 
 def test_projections(spark):
@@ -97,8 +150,8 @@ def test_utm_scale_is_right_along_the_meridian(spark):
 
 
 def test_ramps():
-    assert len(ramps.ramp("viridis")) == 256 and ramps.ramp("viridis")[0][2] > 70 and ramps.ramp("viridis")[255][0] > 240
-    assert ramps.ramp("gray") == [(17 * k,) * 3 for k in range(16)] and len(ramps.ramp("spectral")) == 16
+    assert len(ramps.ramp("viridis")) == 256 and ramps.ramp("viridis")[0] == (68, 1, 84) and ramps.ramp("viridis")[255] == (253, 231, 37)
+    assert ramps.ramp("gray") == [(17 * k,) * 3 for k in range(16)] and {len(ramps.ramp(n)) for n in (*ramps.CLASSES, "plasma", "turbo", "hot")} == {16}
     with pytest.raises(ValueError):
         ramps.ramp("rdylgn")
 
@@ -118,6 +171,8 @@ def test_named_geometries(spark):
     requests = spark.createDataFrame([(1, "p", "a"), (1, "p", "b"), (2, "p", "a"), (2, "p", "zz")], "zone_id int, provider string, id string")
     found = g.resolve(requests).collect()
     assert [(r.zone_id, len(r.polygons)) for r in found] == [(1, 2)] and g.revision() == 1
+    assert g.set(g.table.select("provider", "id", "polygons").where("id = 'b'")) is g
+    assert {r.id for r in g.set(spark.createDataFrame([("q", "n", box(0, 0, 1, 1))], schema)).since(1).collect()} == {"n"}
     h = g.replace("p", spark.createDataFrame([("c", box(0, 0, 1, 1))], f"id string, polygons {geometry.POLYGONS}"))
     assert h.revision() == 2 and sorted((r.provider, r.id) for r in h.table.collect()) == [("p", "c"), ("q", "a")]
     assert h.delete(spark.createDataFrame([("q", "a")], "provider string, id string")).table.count() == 1

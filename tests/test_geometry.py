@@ -18,21 +18,42 @@ def box(x0, y0, x1, y1):
 
 
 def grid(polygons, w, h):
-    found = coverage.shares(polygons, w, h)
-    return np.array([found.get(r, np.zeros(w)) for r in range(h)])
+    out = np.zeros((h, w))
+    for row, col, n, share in zip(*coverage.shares(coverage.rings_of(polygons), w, h)):
+        out[row, col : col + n] = share
+    return out
 
 
 def star(rng, cx, cy, r, n=7):
     return ring(*((cx + r * (0.4 + 0.6 * rng.random()) * math.cos(2 * math.pi * k / n), cy + r * (0.4 + 0.6 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)))
 
 
-def test_known_grids():
-    assert np.allclose(grid([[box(0.25, 0.5, 2.75, 1.5)]], 3, 2).ravel(), [0.375, 0.5, 0.375, 0.375, 0.5, 0.375])
-    assert np.allclose(grid([[box(-5, -5, 15, 15)]], 10, 10), 1)
-    assert np.isclose(grid([[ring((-4, 0), (4, 0), (0, 8))]], 8, 8).sum(), 16)
-    assert np.isclose(grid([[box(6, 6, 12, 12)]], 8, 8).sum(), 4)
-    one = grid([[box(2, 2, 3, 3)]], 5, 5)
-    assert one[2, 2] == 1 and one.sum() == 1
+def overlaps(a, b, n):
+    """How much of each of n unit cells lies in [a, b]."""
+    return np.clip(np.minimum(np.arange(1, n + 1), b) - np.maximum(np.arange(n), a), 0, None)
+
+
+def test_boxes_cover_the_product_of_their_overlaps():
+    for x0, y0, x1, y1 in ((1.2, 0.4, 3.7, 2.9), (-3.5, 1.25, 2.5, 40.0), (5.75, 5.75, 5.8, 5.9), (-9, -9, 99, 99), (3, 1, 6, 4)):
+        assert np.allclose(grid([[box(x0, y0, x1, y1)]], 7, 6), np.outer(overlaps(y0, y1, 6), overlaps(x0, x1, 7)))
+
+
+def test_a_slanted_edge_by_trapezoids():
+    """The triangle under y = x / 3: each column's share is that of a trapezoid, row by row."""
+    got = grid([[ring((0, 0), (9, 0), (9, 3))]], 9, 4)
+    for col in range(9):
+        assert np.isclose(got[:, col].sum(), (col + 0.5) / 3)
+    assert np.allclose(got[0, 3:], 1) and np.allclose(got[1, :3], 0) and np.allclose(got[0, :3], [1 / 6, 1 / 2, 5 / 6]) and not got[3].any()
+
+
+def test_a_wide_raster_takes_no_wide_rows():
+    """Work follows the cells that edges cross."""
+    import tracemalloc
+
+    tracemalloc.start()
+    row, col, n, share = coverage.shares(coverage.rings_of([[ring((500_000.5, 10), (500_004.5, 10), (500_002, 410))], [box(3.5, 600, 899_999.5, 601)]]), 1_000_000, 1000)
+    assert np.isclose((n * share).sum(), 800 + 899_996) and len(row) < 3000 and tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -47,8 +68,8 @@ def test_shares_add_up_to_the_area(seed):
 
 def test_overlaps_are_clamped_and_runs_hold_the_interior():
     assert grid([[box(0, 0, 2, 2)], [box(1, 1, 3, 3)]], 4, 4).max() == 1
-    runs = list(coverage.to_runs(coverage.shares([[box(1.5, 0, 90.5, 3)]], 100, 3)))
-    assert len(runs) == 9 and sum(n * w for _, _, n, w in runs) == 89 * 3
+    _, _, n, w = coverage.shares(coverage.rings_of([[box(1.5, 0, 90.5, 3)]]), 100, 3)
+    assert len(n) == 9 and (n * w).sum() == 89 * 3
 
 
 def test_fill_agrees_with_the_even_odd_test(spark):

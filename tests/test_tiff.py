@@ -75,3 +75,51 @@ def test_far_chains_are_followed_and_broken_files_refused(tmp_path):
 
 def test_ranges_merge():
     assert [len(g) for g in tiff.merged([(0, 10, 0), (10, 10, 1), (60_000, 5, 2), (92_000, 5, 3)])] == [2, 2]
+
+
+def test_web_files_and_pages(tmp_path, spark):
+    """Blocks over range requests equal those of the file; a page is fetched once."""
+    import http.server
+    import threading
+
+    from gridlake.sources import ranges
+
+    image = np.random.default_rng(3).integers(0, 255, (90, 70)).astype("u1")
+    path = tmp_path / "w.tif"
+    tiff.write_tiff(str(path), image, 16, overviews=[image[::2, ::2]])
+    data = path.read_bytes()
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            first, last = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            part = data[first : last + 1]
+            self.send_response(206 if part else 416)
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/w.tif"
+    key = lambda rows: sorted((r.level, r.band, r.bx, r.by, r["values"]) for r in rows)
+    want = key(tiff.read_blocks(spark, str(path)).collect())
+    assert key(tiff.read_blocks(spark, url).collect()) == want
+    assert key(tiff.read_whole(spark, str(path)).collect()) == want
+    named = tiff.read_blocks(spark, url, blocks="1:2,0:0,99:1").where("level = 0").collect()
+    assert sorted((r.bx, r.by) for r in named) == [(0, 0), (1, 2)]
+    server.shutdown()
+    source = ranges.Source(ranges.LocalFile(str(path)), ranges.Pages(1 << 20))
+    for place, n in ((0, 10), (5, 50), (len(data) - 3, 100), (100, 4000)):
+        source.seek(place)
+        assert source.read(n) == data[place : place + n]
+    assert source.fetches == 1
+    small = ranges.Pages(100)
+    for k in range(5):
+        small.put(k, bytes(40))
+    assert list(small.held) == [3, 4] and small.bytes == 80
+    assert ranges.range_body(200, b"abcdef", 2, 3) == b"cde" and ranges.range_body(206, b"cde", 2, 3) == b"cde"
+    with pytest.raises(OSError):
+        ranges.range_body(500, b"", 0, 1)
