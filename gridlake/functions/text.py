@@ -54,3 +54,25 @@ def log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 def source_url(name: Column, server: str) -> Column:
     """Where a source's name points: URLs stay, file names go under the server."""
     return F.when(name.rlike("^(https?|file)://"), name).otherwise(F.concat(F.lit(server.rstrip("/") + "/"), F.url_encode(name)))
+
+
+def query_string(params: Column) -> Column:
+    """k=v&k=v of a map, keys in order; null values are left out."""
+    entries = F.array_sort(F.filter(F.map_entries(params), lambda e: e["value"].isNotNull()))
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")
+
+
+#: Names of a TIFF's photometric interpretations.
+PHOTOMETRIC = {0: "miniswhite", 1: "minisblack", 2: "rgb", 3: "palette", 4: "mask", 6: "ycbcr"}
+
+
+def photometric(code: Column) -> Column:
+    name = F.lit("other")
+    for k, v in PHOTOMETRIC.items():
+        name = F.when(code == k, v).otherwise(name)
+    return name
+
+
+def server_timing_header(phases: Column) -> Column:
+    """The header of array<struct<phase, ms>>."""
+    return F.array_join(F.transform(phases, lambda p: F.concat(p["phase"], F.lit(";dur="), F.format_number(p["ms"], 3))), ", ")

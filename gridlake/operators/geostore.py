@@ -74,3 +74,31 @@ def cacheable(code: Column) -> Column:
 
 def live(entries: DataFrame, stored_at: str, now: Column, ttl_seconds: int) -> DataFrame:
     return entries.where(F.unix_timestamp(now) - F.unix_timestamp(stored_at) < ttl_seconds)
+
+
+def reference_problem(literal: Column, provider: Column, ids: Column) -> Column:
+    """Why a clip can't be told from its parameters, null if it can: a provider and ids go together, and never with a literal shape."""
+    both = provider.isNotNull() & ids.isNotNull()
+    return (
+        F.when(provider.isNotNull() & ids.isNull(), "a provider needs ids").when(ids.isNotNull() & provider.isNull(), "ids need a provider").when(both & literal.isNotNull(), "a shape and a provider both name the clip")
+    )
+
+
+def answer_allows(body: Column, asked: Column) -> Column:
+    """Whether the body of a 2xx access answer grants all that was asked: nothing or no JSON says yes; a boolean, `allowed`, or a list (bare, `allowed` or `ids`) says which."""
+    text = F.trim(F.coalesce(body, F.lit("")))
+    member = lambda path: F.get_json_object(text, path)
+    flag = F.coalesce(F.when(text.isin("true", "false"), text), member("$.allowed"))
+    listed = lambda t: F.from_json(F.when(t.startswith("["), t), "array<string>")
+    have = F.coalesce(listed(member("$.allowed")), listed(member("$.ids")), listed(text))
+    return F.when(flag == "true", True).when(flag == "false", False).when(have.isNotNull(), F.size(F.array_except(asked, have)) == 0).otherwise(True)
+
+
+def cache_key(*parts: Column) -> Column:
+    """Parts joined by a character that names and ids can't hold."""
+    return F.concat_ws("|", *parts)
+
+
+def id_list(ids: Column) -> Column:
+    """Ids given as an array, as the comma-separated text of a request."""
+    return F.array_join(F.transform(ids, lambda i: F.trim(i.cast("string"))), ",")

@@ -83,3 +83,66 @@ def keep_within(entries: DataFrame, keys: list[str], order: list[Column], size:
     """The entries that a byte-bounded cache keeps: in the given order of worth, while their running size fits."""
     running = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return entries.withColumn("running", running).where(F.col("running") <= capacity)
+
+
+def spans(rows: DataFrame, request: str, phase: str, ms: str, order: str) -> DataFrame:
+    """Time of each phase of each request, spans of one name added up, with the place at which the name was first seen."""
+    summed = rows.groupBy(request, phase).agg(F.sum(ms).alias("ms"), F.min(order).alias("_first"))
+    return summed.withColumn("place", F.row_number().over(Window.partitionBy(request).orderBy("_first", phase)) - 1).drop("_first")
+
+
+def interpolated(column: str, q: float) -> Column:
+    """Percentile between the two nearest ranks."""
+    return F.expr(f"percentile({column}, {q})")
+
+
+def summary(samples: DataFrame, keys: list[str], wall_s: Column, served: Column, latency: str = "service_ms", bytes_: str = "bytes") -> DataFrame:
+    """Requests, errors, rates and latencies of each run; only what was served counts for rates, bytes and latencies."""
+    ok = samples.withColumn("_ok", F.coalesce(served, F.lit(False))).withColumn("_ms", F.when(F.col("_ok"), F.col(latency)))
+    out = ok.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.count_if("_ok").alias("ok"), F.coalesce(F.sum(F.when(F.col("_ok"), F.col(bytes_))), F.lit(0)).alias("bytes"),
+        *(nearest_rank("_ms", q).alias(k) for k, q in PERCENTILES.items()), F.first(wall_s).alias("wall_s"),
+    )
+    rate = lambda c: F.when(F.col("wall_s") > 0, c / F.col("wall_s")).otherwise(0.0)
+    return out.withColumn("errors", F.col("requests") - F.col("ok")).withColumn("achieved_rps", rate(F.col("ok"))).withColumn("mb_per_s", rate(F.col("bytes") / 1e6))
+
+
+def soak(summaries: DataFrame) -> DataFrame:
+    """Kilobytes of each served request beside a summary's latencies."""
+    return summaries.withColumn("kb_per_request", F.when(F.col("ok") > 0, F.col("bytes") / F.col("ok") / 1024).otherwise(0.0))
+
+
+def accounted(phases: DataFrame, service: DataFrame, key: str) -> DataFrame:
+    """The phases' medians added up, beside the service median, and what share of it they explain."""
+    total = phases.groupBy(key).agg(F.sum("p50").alias("accounted"))
+    return total.join(service.select(key, F.col("p50").alias("service")), key).withColumn("share", F.when(F.col("service") > 0, F.col("accounted") / F.col("service")))
+
+
+def near_floor(p50: Column, floor_p50: Column, times: float = 3.0) -> Column:
+    """Whether a median tells more of the path than of the server."""
+    return F.coalesce(p50 < floor_p50 * times, F.lit(False))
+
+
+def index_row(summaries: DataFrame, keys: list[str], metrics: list[str], digits: int = 2) -> DataFrame:
+    """One map of key/metric to rounded value for a whole run."""
+    name = lambda m: F.concat_ws("/", *keys, F.lit(m))
+    pairs = summaries.select(F.inline(F.array(*(F.struct(name(m).alias("k"), F.round(F.col(m), digits).alias("v")) for m in metrics))))
+    return pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metrics"))
+
+
+def comparable(base: Column, head: Column) -> Column:
+    """Why two runs can't be compared, null if they can; each side is a struct with dataset and cpu."""
+    return F.when(~base["dataset"].eqNullSafe(head["dataset"]), "another data set").when(~base["cpu"].eqNullSafe(head["cpu"]), "another processor")
+
+
+def arrivals(n: Column, rate: Column, started: Column) -> Column:
+    """When the n-th request of an open loop is due, whatever became of those before."""
+    return started + n / rate
+
+
+def stops(sent: Column, elapsed_s: Column, most: int | None = None, seconds: float | None = None) -> Column:
+    """Whether a load run is over, by its number of requests or its duration."""
+    over = F.lit(False)
+    if most is not None:
+        over = over | (sent >= most)
+    return over if seconds is None else over | (elapsed_s >= seconds)
