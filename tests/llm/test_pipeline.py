@@ -58,7 +58,8 @@ def test_stages_on_empty_tables_and_very_long_texts(spark, tmp_path):
     for rows in ([], [(1, "word " * 30_000), (2, "y" * 100_000), (3, None)]):
         docs = _frame(spark, rows)
         for _, stage in pipeline.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
+            found = stage(spark, docs, str(tmp_path))
+            docs = spark.createDataFrame(found.collect(), found.schema)
         assert {r.doc_id for r in docs.collect()} == {d for d, _ in rows}
 
 
