@@ -46,7 +46,9 @@ def _grams(text: Column) -> Column:
     """The text's ORDER-grams, one for each character and the end."""
     chars = F.split(F.concat(F.lit(START * (ORDER - 1)), text, F.lit(END)), "")
     chars = F.filter(chars, lambda c: c != "")
-    return F.transform(F.slice(chars, 1, F.size(chars) - ORDER + 1), lambda c, i: F.concat(*(F.get(chars, i + k) for k in range(ORDER))))
+    # the characters are bound to a variable, else they would be split again for each gram
+    made = F.transform(F.array(chars), lambda own: F.transform(F.slice(own, 1, F.size(own) - ORDER + 1), lambda c, i: F.concat(*(F.get(own, i + k) for k in range(ORDER)))))
+    return F.get(made, F.lit(0))
 
 
 def _ratios(examples: DataFrame, wanted: DataFrame) -> DataFrame:
