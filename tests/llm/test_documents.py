@@ -212,6 +212,40 @@ def test_links_equal_brute_force(make_docs, monkeypatch, block):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("done", [0, 6])
+def test_groups_that_share_many_shingles_meet_few_times(spark, done):
+    """Every pair that no earlier round has met comes out, and hardly any more than once, however many shingles it shares."""
+    rng = random.Random(7)
+    base, rows, ranks = range(100), [], {}
+    for g in range(12):
+        kept = sorted(s for s in base if rng.random() < 0.8) if g % 3 else sorted({*rng.sample(range(100, 1000), 60), rng.choice(base)})
+        ranks[g] = {s: i + 1 for i, s in enumerate(kept)}
+        rows += [(s, 2, g, 4000, i, i + 1, g, False, None) for i, s in enumerate(kept)]
+    open_ = spark.createDataFrame(rows, "shingle long, parts int, grp long, n int, pos int, rank int, root long, mixed boolean, bits array<long>")
+    got = [tuple(r) for r in ngram_join._met(open_, done).collect()]
+    both = {(g, h): ranks[g].keys() & ranks[h].keys() for g in ranks for h in ranks if g < h}
+    first = {p: max(min(ranks[p[0]][s] for s in x), min(ranks[p[1]][s] for s in x)) for p, x in both.items() if x}
+    assert set(got) >= {p for p, rank in first.items() if rank > done}
+    assert set(got) <= first.keys() and len(got) <= 1.5 * len(first)
+    assert sum(map(len, both.values())) > 10 * len(first)
+
+
+def test_join_that_passes_shared_shingles_over(make_docs, monkeypatch):
+    """Components are the same if rows carry one shingle only, and over long texts that share most shingles of their prefixes."""
+    rng = random.Random(11)
+    base = prose(rng, 400, 3000).split()
+    rows = near_copies(5, 60)
+    for d in range(25):
+        words = list(base)
+        for _ in range(rng.randrange(5, 30)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(9)}"
+        rows.append((1000 + d, " ".join(words)))
+    want = brute_components(rows)
+    monkeypatch.setattr(ngram_join, "BEFORE", 1)
+    got = sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(make_docs(rows)).collect())
+    assert got == want
+
+
 def test_shared_counts(monkeypatch):
     monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 8)
     rng = np.random.default_rng(5)
