@@ -98,13 +98,33 @@ class TrieCounter(dict):
         if len(word) > LONG:
             self[key] = self._node(self._alone(MARK + word))
             return
-        node, path, children = self.mark, [0, self.mark], self.children
-        for i, c in enumerate(word):
-            edge = node << 21 | ord(c)
+        node, path, children, endings = self.mark, [0, self.mark], self.children, self.endings
+        score, tokens, fallback = self.score, self.tokens, self.fallback
+        text = MARK + word
+        for i in range(1, len(text)):
+            edge = node << 21 | ord(text[i])
             child = children.get(edge)
-            if child is None:
-                text = (MARK + word[: i + 1])[-self.longest :]
-                child = children[edge] = self._node(self._forward(text, lambda k: self._state(path[-k])))
+            if child is None:  # as _forward does, without its calls: most of the work lies here
+                back, best, count, start = endings, None, 0, 0
+                for j in range(i, -1, -1):
+                    back = back.get(text[j])
+                    if back is None:
+                        break
+                    if "" in back:
+                        before = path[j]
+                        value = score[before] + back[""]
+                        if best is None or value > best or value == best and tokens[before] < count:
+                            best, count, start = value, tokens[before], before
+                child = children[edge] = len(score)
+                if best is None:
+                    state = self._forward(text[i], lambda k: self._state(node))
+                    score.append(state[0])
+                    tokens.append(state[1])
+                    fallback.append(state[2])
+                else:
+                    score.append(best)
+                    tokens.append(count + 1)
+                    fallback.append(fallback[start])
             node = child
             path.append(node)
         self[key] = node

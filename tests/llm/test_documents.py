@@ -212,6 +212,25 @@ def test_links_equal_brute_force(make_docs, monkeypatch, block):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(rows)
 
 
+def test_trie_nodes_are_computed_in_place(monkeypatch):
+    """Equal to the scores of whole prefixes, ties and fallbacks included; only characters without a piece take the general way."""
+    scores = {"\u2581": -1.0, "a": -2.0, "b": -2.0, "ab": -4.0, "\u2581a": -2.5, "bab": -3.0, "c\u00e9": -1.5, "c": -6.0}
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abc\u00e9z") for _ in range(rng.randrange(1, 12))) for _ in range(300)}
+    counter, want = tokencount.TrieCounter(scores), {}
+    for word in words:
+        text, states = tokencount.MARK + word, [(0.0, 0, 0)]
+        for i in range(1, len(text) + 1):
+            states.append(counter._forward(text[:i], lambda k: states[-k]))
+        want[word] = states[-1]
+    calls, general = [], counter._forward
+    monkeypatch.setattr(counter, "_forward", lambda text, without: calls.append(text) or general(text, without))
+    for word in words:
+        counter.add(word, word.encode())
+    assert {w: counter._state(counter[w.encode()]) for w in words} == want
+    assert set(calls) <= {"z", "\u00e9"}
+
+
 @pytest.mark.parametrize("done", [0, 6])
 def test_groups_that_share_many_shingles_meet_few_times(spark, done):
     """Every pair that no earlier round has met comes out, and hardly any more than once, however many shingles it shares."""
