@@ -308,6 +308,70 @@ def test_buckets_are_streamed(monkeypatch):
         assert sorted(got) == sorted(want)
 
 
+def test_rows_that_the_first_step_has_met(monkeypatch):
+    """met = 2 only where no pair of a row's that may link is left over; few rows of small buckets are taken for more than that."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 6)
+    rng = random.Random(9)
+    rows = [(s, -1 if s % 5 else 0, g, n, rng.randrange(n // 4 + 1)) for s in range(200) for g in sorted(rng.sample(range(40), rng.choice([2, 3, 5, 6, 7]))) for n in [rng.randrange(80, 120)]]
+    buckets = {s: [r for r in rows if r[0] == s] for s in range(200)}
+
+    def open_pairs(bucket, k):  # of row k that neither the least row nor the one before shows
+        for j, (_, _, _, n, pos) in enumerate(bucket):
+            _, _, _, m, at = bucket[k]
+            if abs(j - k) > 1 and min(j, k) > 0 and 4 * min(n, m) >= 3 * max(n, m) and 7 * min(n - pos, m - at) >= 3 * (n + m):
+                yield j
+
+    names, types = ["shingle", "salt", "grp", "n", "pos"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    for size in (1, 9, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + size]), types)], names=names) for a in range(0, len(rows), size)]
+        got = {(r["shingle"], r["grp"]): r["met"] for b in ngram_join._bucket_task(iter(batches)) for r in b.to_pylist()}
+        assert len(got) == len(rows)
+        for s, bucket in buckets.items():
+            for k, row in enumerate(bucket):
+                met, plain = got[s, row[2]], 0 if row[1] >= 0 or len(bucket) > 6 else 1 if any(open_pairs(bucket, k)) else 2
+                assert met in (0, plain)
+                assert met == plain or size < len(rows) or s == 199
+
+
+def test_passes_divide_the_prefixes(spark):
+    """Each pass has its own shingles on disk, and all together have every prefix with its positions."""
+    import types
+
+    import pyarrow as pa
+
+    texts = [t for _, t in near_copies(6, 40)]
+    frequent = types.SimpleNamespace(value=(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [[(r["shingle"], r["grp"], r["n"], r["pos"]) for b in ngram_join._prefix_task(frequent, k)(iter([batch])) for r in b.to_pylist()] for k in range(ngram_join.PASSES)]
+    want = set()
+    for found in ngram_join.shingle_sets([t.encode() for t in texts]):
+        prefix = ngram_join._prefix(found, frequent.value)[0]
+        want |= {(int(x), ngram_join._group_id(len(found), prefix), len(found), k) for k, x in enumerate(prefix)}
+    assert len(parts) > 1 and sorted(sum(parts, [])) == sorted(want)
+    assert max(map(len, parts)) < 0.6 * len(want)
+
+
+def test_pairs_of_the_first_step_stay_out_of_the_second(make_docs, monkeypatch):
+    """Lone pairs of texts that share passages are compared in the first step and leave no rows to the full join."""
+    rng, rows, kept = random.Random(12), [], {}
+    for d in range(20):
+        words = prose(rng, 80, 9000).split()
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(words[: 80 - 3 * d] + prose(rng, 3 * d, 9000).split()))]
+    store = ngram_join.stored
+
+    def noted(df, name, keep=False):
+        out = store(df, name, keep)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    got = sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(make_docs(rows)).collect())
+    assert got == brute_components(rows)
+    assert kept["ngram-buckets"] > 0 and kept["ngram-shared"] <= 0.1 * kept["ngram-buckets"]
+
+
 def test_join_on_an_empty_table(make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
     assert ngram_join.link_counts(make_docs([])).count() == 0
