@@ -42,3 +42,10 @@ def test_rendered_tiles_cover_the_raster(spark):
     place = tilemath.tile_of(lon, lat, F.lit(9))
     held = {(9, r.x, r.y) for r in raster.cells.select(place["x"].alias("x"), place["y"].alias("y")).distinct().collect()}
     assert held == made
+
+
+def test_mercator_beyond_the_poles_equals_sql(spark, tmp_path):
+    """Larger tables place their points near the south pole and beyond it, where there is no y."""
+    ids = [0, 17, 600017, 917900, 919000, 919100, 919199, 919400, 930000, 2000000, 3000000, 4517700, 4519000, 4519300, 5999999]
+    spark.createDataFrame([(i, None) for i in ids], "event_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    assert compare(spark, connect(str(tmp_path)), QUERIES["mercator_forward"], ORACLE["mercator_forward"], str(tmp_path)) == ""
