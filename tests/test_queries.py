@@ -49,3 +49,19 @@ def test_mercator_beyond_the_poles_equals_sql(spark, tmp_path):
     ids = [0, 17, 600017, 917900, 919000, 919100, 919199, 919400, 930000, 2000000, 3000000, 4517700, 4519000, 4519300, 5999999]
     spark.createDataFrame([(i, None) for i in ids], "event_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     assert compare(spark, connect(str(tmp_path)), QUERIES["mercator_forward"], ORACLE["mercator_forward"], str(tmp_path)) == ""
+
+
+@pytest.mark.parametrize("name", ["tiff_info", "tiff_scan", "tiff_points", "tiff_zonal"])
+def test_the_orders_file_does_not_pass_the_driver_as_cells(spark, con, tmp_path, monkeypatch, name):
+    """The table's cells are never collected, so the driver's memory doesn't grow with them."""
+    import shutil
+
+    def refuse(self):
+        raise AssertionError("a whole table is collected")
+
+    data = str(tmp_path / "tables")  # a folder for which there is no file yet
+    shutil.copytree(DATA, data)
+    with monkeypatch.context() as patched:
+        patched.setattr(type(spark.range(0)), "toPandas", refuse)
+        found = QUERIES[name](spark, data)
+    assert compare(spark, con, lambda *_: found, ORACLE[name], DATA) == ""

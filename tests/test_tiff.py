@@ -123,3 +123,24 @@ def test_web_files_and_pages(tmp_path, spark):
     assert ranges.range_body(200, b"abcdef", 2, 3) == b"cde" and ranges.range_body(206, b"cde", 2, 3) == b"cde"
     with pytest.raises(OSError):
         ranges.range_body(500, b"", 0, 1)
+
+
+def test_cells_become_the_file_of_their_array(tmp_path, spark, monkeypatch):
+    """Blocks are made by tasks and pass the driver a few at a time; a block without a cell has no rows."""
+    monkeypatch.setattr(tiff, "BLOCKS_AT_ONCE", 3)
+    monkeypatch.setattr(tiff, "CELLS_PER_TASK", 700)
+    image = np.random.default_rng(3).random((75, 37)).astype("f4")
+    image[::7, ::3] = -1
+    rows = [(r, c, None if image[r, c] == -1 else float(image[r, c])) for r in range(75) for c in range(37) if not (16 <= r < 32 and c >= 32)]
+    cells = spark.createDataFrame(rows, "row int, col int, value float").repartition(3)
+    gt = (10.0, 0.01, 0, 2.0, 0, -0.01)
+    one, other = str(tmp_path / "d.tif"), str(tmp_path / "e.tif")
+    tiff.write_cells(one, cells, 37, 75, 16, levels=2, gt=gt, epsg=4326, nodata=-1.0)
+    tiff.write_tiff(other, image, 16, 8, 3, gt=gt, epsg=4326, nodata="-1", overviews=[image[::2, ::2]])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["d.tif", "e.tif"]
+    infos = [[r[1:] for r in tiff.read_info(spark, p).orderBy("level").collect()] for p in (one, other)]
+    assert infos[0] == infos[1]
+    got, want = ({(r.level, r.row, r.col): r.value for r in tiff.cells(tiff.read_blocks(spark, p)).collect()} for p in (one, other))
+    assert {k for k in want if k not in got} == {(0, r, c) for r in range(16, 32) for c in range(32, 37)}
+    assert all(got[k] == want[k] for k in got if k[0] == 0)
+    assert all(got[k] == want[k] for k in got if not (k[0] == 1 and 8 <= k[1] < 16 and k[2] >= 16))
