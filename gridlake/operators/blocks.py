@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COALESCE_GAP = 32 * 1024
+ROWS_PER_TASK = 1 << 18  # of ranges that one task sorts and joins, about; at some 300 bytes a row in its sorts and aggregates
 
 
 def block_of(row: Column, col: Column, block: int, across: int) -> dict[str, Column]:
@@ -19,7 +20,10 @@ def prune(blocks: DataFrame, c0: int, c1: int, r0: int, r1: int, width: int, hei
 
 
 def coalesce_ranges(ranges: DataFrame, keys: list[str], gap: int = COALESCE_GAP) -> DataFrame:
-    """keys, first, end and pieces of byte ranges (byte_offset, byte_count) joined where they lie at most `gap` apart."""
+    """keys, first, end and pieces of byte ranges (byte_offset, byte_count) joined where they lie at most `gap` apart.
+
+    The number of tasks follows the number of ranges, counted first, so that a task's memory doesn't grow with the table, but with the largest key only."""
+    ranges = ranges.repartition(ranges.count() // ROWS_PER_TASK + 1, *keys)
     order = Window.partitionBy(*keys).orderBy("byte_offset", "byte_count")
     reach = F.max(F.col("byte_offset") + F.col("byte_count")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = ranges.withColumn("_start", F.when(reach.isNull() | (F.col("byte_offset") > reach + gap), 1).otherwise(0))

@@ -65,3 +65,22 @@ def test_the_orders_file_does_not_pass_the_driver_as_cells(spark, con, tmp_path,
         patched.setattr(type(spark.range(0)), "toPandas", refuse)
         found = QUERIES[name](spark, data)
     assert compare(spark, con, lambda *_: found, ORACLE[name], DATA) == ""
+
+
+def test_tasks_that_coalesce_ranges_grow_with_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gridlake.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS_PER_TASK", 300, raising=False)
+    rows = [(k, (i * 7919 + k * 31) % 100_000 * 40, i % 97) for k in range(30) for i in range(100)]
+    found = blocks.coalesce_ranges(spark.createDataFrame(rows, "k long, byte_offset long, byte_count long"), ["k"])
+    want = []
+    for k in range(30):
+        for offset, n in sorted(r[1:] for r in rows if r[0] == k):
+            if want and want[-1][0] == k and offset <= want[-1][2] + blocks.COALESCE_GAP:
+                want[-1] = (k, want[-1][1], max(want[-1][2], offset + n), want[-1][3] + 1)
+            else:
+                want.append((k, offset, offset + n, 1))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 8
